@@ -4,18 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.llm.byte_bpe import codec, round_trip
 from quillgraph.llm.exact_dedup import exact_dedup
+from quillgraph.llm.gif import media_columns
 from quillgraph.llm.mixing import mix_sources
+from quillgraph.llm.toxicity import score_toxicity, train
 from quillgraph.llm.url_rules import filter_urls
 
+#: The rank file of the byte-level vocabulary, as a parameter of the queries.
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str = RANKS) -> DataFrame:
+    """Token counts and digests of encoding and decoding, for all documents."""
+    return round_trip(_table(spark, sf_dir, "documents"), codec(ranks, public_tokenizers.PATTERN))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which copy of every text stays, for all documents."""
     return exact_dedup(_table(spark, sf_dir, "documents"))
@@ -27,6 +39,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of every document the mix takes."""
     mixed = mix_sources(_table(spark, sf_dir, "documents"))
@@ -35,10 +53,21 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as GIF and read back."""
+    described = media_columns(_table(spark, sf_dir, "documents"))
+    return described.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_url_filter": op4_url_filter,
+    "op5_toxicity": op5_toxicity,
     "op7_mix_sources": op7_mix_sources,
+    "op8_gif_media": op8_gif_media,
 }
 
 ORACLE_SQL: dict[str, str] = {
