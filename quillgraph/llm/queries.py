@@ -12,6 +12,8 @@ from quillgraph.llm.byte_bpe import codec, round_trip
 from quillgraph.llm.exact_dedup import exact_dedup
 from quillgraph.llm.gif import media_columns
 from quillgraph.llm.mixing import mix_sources
+from quillgraph.llm.substring_dedup import substring_dedup
+from quillgraph.llm.superminhash import near_duplicates
 from quillgraph.llm.toxicity import score_toxicity, train
 from quillgraph.llm.url_rules import filter_urls
 
@@ -45,6 +47,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps when repeated 50-word windows are removed."""
+    kept = substring_dedup(_table(spark, sf_dir, "documents"), window=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of every document the mix takes."""
     mixed = mix_sources(_table(spark, sf_dir, "documents"))
@@ -61,13 +69,20 @@ def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document, on 3-word shingles at 85 %."""
+    return near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_toxicity": op5_toxicity,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op8_gif_media": op8_gif_media,
+    "op10_superminhash": op10_superminhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
