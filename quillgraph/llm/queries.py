@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from quillgraph.llm.byte_bpe import codec, round_trip
 from quillgraph.llm.exact_dedup import exact_dedup
 from quillgraph.llm.gif import media_columns
+from quillgraph.llm.line_dedup import line_dedup
 from quillgraph.llm.mixing import mix_sources
 from quillgraph.llm.substring_dedup import substring_dedup
 from quillgraph.llm.superminhash import near_duplicates
+from quillgraph.llm.token_shards import write_shards
 from quillgraph.llm.toxicity import score_toxicity, train
 from quillgraph.llm.url_rules import filter_urls
 
@@ -35,6 +37,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines of every document go as repeated chunks, and what stays."""
+    kept = line_dedup(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's url."""
     judged = filter_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
@@ -69,6 +77,11 @@ def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every token sequence of all documents lies in the shards."""
+    return write_shards(_table(spark, sf_dir, "documents"))
+
+
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document, on 3-word shingles at 85 %."""
     return near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
@@ -77,11 +90,13 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op8_gif_media": op8_gif_media,
+    "op9_token_shards": op9_token_shards,
     "op10_superminhash": op10_superminhash,
 }
 
