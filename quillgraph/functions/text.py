@@ -184,7 +184,8 @@ def revised_question(note: Column | str) -> Column:
 
 def html_text(html: Column | str) -> Column:
     """Visible text of a page: scripts, styles, comments and tags removed, entities read, space squeezed."""
-    out = F.regexp_replace(F.coalesce(_col(html), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+    blocks = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+    out = F.regexp_replace(F.coalesce(_col(html), F.lit("")), blocks, " ")
     out = F.regexp_replace(F.regexp_replace(out, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(char))
