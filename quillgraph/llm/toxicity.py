@@ -73,7 +73,7 @@ def sentences(text: str) -> list[list[str]]:
 class SubsequenceKernel:
     """Explicit gap-weighted features of order three and kernels against landmarks."""
 
-    def __init__(self, decay: float = 0.75, power: int = 8) -> None:
+    def __init__(self, decay: float = 0.75, power: int = 10) -> None:
         self.power = power
         self.picks = {}
         for m in range(3, LONGEST + 1):
@@ -137,8 +137,9 @@ def _hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float, rounds
     keep[-1, -1] = 1e-3
     for _ in range(rounds):
         short = 1 - y * (x @ w) > 0
-        xs = x[short] * (cost * weight[short])[:, None]
-        new = np.linalg.solve(keep + xs.T @ x[short], xs.T @ y[short])
+        part = x[short]
+        scaled = part * (cost * weight[short, None])
+        new = np.linalg.solve(keep + scaled.T @ part, scaled.T @ y[short])
         if np.allclose(new, w, atol=1e-8):
             break
         w = new
@@ -204,14 +205,17 @@ class ToxicModel:
         return (1 / (1 + np.exp(-z))).tolist()
 
 
-def fit(texts: list[str], toxic: list[int], marked: int = 64, plain: int = 12, cost: float = 100.0) -> ToxicModel:
+def fit(
+    texts: list[str], toxic: list[int], marked: int = 64, plain: int = 12, plain_sentences: int = 12, cost: float = 30.0
+) -> ToxicModel:
     """Train on labelled documents, sentence by sentence.
 
     Repeated texts count once, with the label most of them have. Landmarks are
     the words most tied to the label (by the z value of their log odds over
     documents, at least 3 of the best in any case) and a few common words.
     Every sentence starts with its document's label; then each toxic document
-    keeps only its worst sentence, and the SVM is fitted again. In the last
+    keeps only its worst sentence, and the SVM is fitted again; clean documents
+    teach with evenly spaced sentences. In the last
     rounds the loss is a ramp: toxic documents far on the wrong side are taken
     for wrong labels and left out. With one class only, every score is that
     class's share.
@@ -223,10 +227,18 @@ def fit(texts: list[str], toxic: list[int], marked: int = 64, plain: int = 12, c
     if len(y) == 0 or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return ToxicModel(["toxic"], np.zeros(1), 0.0, (0.0, 30.0 if share == 1 else -30.0))
-    docs = [sentences(t) for t in votes]
-    pieces = {t: fragments(t) for doc in docs for s in doc for t in s}
-    words_of = [{w for s in doc for t in s for w in pieces[t]} for doc in docs]
-    seen = [Counter(w for ws, label in zip(words_of, y, strict=True) if label == k for w in ws) for k in (0, 1)]
+    texts = list(votes)
+    del votes
+
+    def words_of(text: str) -> set[str]:
+        return {w for t in {t for s in sentences(text) for t in s} for w in fragments(t)}
+
+    # words of toxic documents are counted, in them and in the others
+    seen = [Counter(), Counter()]
+    for i in np.flatnonzero(y == 1):
+        seen[1].update(words_of(texts[i]))
+    for i in np.flatnonzero(y == 0):
+        seen[0].update(words_of(texts[i]) & seen[1].keys())
     n0, n1 = int((y == 0).sum()), int((y == 1).sum())
 
     def tie(w: str) -> float:
@@ -234,30 +246,35 @@ def fit(texts: list[str], toxic: list[int], marked: int = 64, plain: int = 12, c
         c, d = n1 - seen[1][w] + 0.5, n0 - seen[0][w] + 0.5
         return float(np.log(a * d / (b * c)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d))
 
-    vocabulary = sorted(seen[0].keys() | seen[1].keys())
-    if not vocabulary:
+    if not seen[1]:
         return ToxicModel(["toxic"], np.zeros(1), 0.0, (0.0, float(np.log(n1 / n0))))
     ties = sorted(((tie(w), w) for w in seen[1]), key=lambda x: (-x[0], x[1]))[:marked]
     strong = [w for i, (z, w) in enumerate(ties) if z >= 3 or i < 3]
     common = sorted(seen[0], key=lambda w: (-seen[0][w], w))[:plain]
+    del seen
     landmarks = list(dict.fromkeys(strong + common))
     kernel = SubsequenceKernel()
     table = np.ascontiguousarray(kernel.dense(landmarks).T)
     values, vectors = np.linalg.eigh(kernel.against(landmarks, table))
     root = vectors @ np.diag(np.maximum(values, 1e-6) ** -0.5) @ vectors.T
 
-    place = {w: i for i, w in enumerate(vocabulary)}
-    mapped = kernel.against(vocabulary, table) @ root
-    owner, members, ends = [], [], [0]
-    for i, doc in enumerate(docs):
-        for s in doc or [[]]:
-            owner.append(i)
-            members += [place[w] for t in sorted(set(s)) for w in pieces[t]]
-            ends.append(len(members))
-    sums = np.concatenate((np.zeros((1, len(landmarks))), np.cumsum(mapped[members], axis=0)))
-    x, owner = sums[ends[1:]] - sums[ends[:-1]], np.array(owner)
+    owner, rows = [], []
+    for i in range(0, len(texts), 50):
+        part = [sentences(t) for t in texts[i : i + 50]]
+        pieces = {t: fragments(t) for doc in part for s in doc for t in s}
+        words = list(dict.fromkeys(w for ws in pieces.values() for w in ws))
+        place = {w: k for k, w in enumerate(words)}
+        mapped = kernel.against(words, table) @ root
+        for k, doc in enumerate(part):
+            if y[i + k] == 0:  # evenly spaced ones tell enough of a clean document
+                doc = doc[:: max(1, len(doc) // plain_sentences)]
+            for s in doc or [[]]:
+                owner.append(i + k)
+                rows.append(mapped[[place[w] for t in sorted(set(s)) for w in pieces[t]]].sum(0).astype(np.float32))
+    x, owner = np.array(rows), np.array(owner)
+    del rows
     label = np.where(y[owner] == 1, 1.0, -1.0)
-    size = np.bincount(owner, minlength=len(docs))
+    size = np.bincount(owner, minlength=len(y))
     begin = np.concatenate(([0], np.cumsum(size)[:-1]))
     balance = n1 / max(1, (label < 0).sum())
     w = _hinge(x, label, np.where(label > 0, 1.0 / size[owner], balance), cost)
@@ -270,8 +287,13 @@ def fit(texts: list[str], toxic: list[int], marked: int = 64, plain: int = 12, c
         if not (label[use] > 0).any():
             break
         w = _hinge(x[use], label[use], np.where(label[use] > 0, 1.0, balance), cost)
-    top = np.maximum.reduceat(x @ w[:-1], begin) + w[-1]
-    return ToxicModel(landmarks, root @ w[:-1], float(w[-1]), _platt(top, y))
+    model = ToxicModel(landmarks, root @ w[:-1], float(w[-1]), (1.0, 0.0), memo=100_000)
+    top = []
+    for i in range(0, len(texts), 50):
+        part = [sentences(t) for t in texts[i : i + 50]]
+        model.learn_tokens({t for doc in part for s in doc for t in s})
+        top += [model.margin(doc) for doc in part]
+    return ToxicModel(landmarks, model.beta, model.bias, _platt(np.array(top), y))
 
 
 def held_out(id_col: str) -> F.Column:
@@ -341,3 +363,19 @@ def score_toxicity(df: DataFrame, model: ToxicModel, id_col: str = "doc_id", tex
     return df.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col)).mapInArrow(
         run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int"
     )
+
+
+def keep_clean(df: DataFrame, model: ToxicModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The input rows, with all their columns, whose text scores below ``threshold``."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                scores = model.scores([t or "" for t in part.column(at).to_pylist()])
+                yield part.filter(pa.array([s < threshold for s in scores], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
