@@ -194,3 +194,34 @@ def mix_sources(
             F.coalesce("got", F.lit(0)).cast("long").alias("taken"),
         )
     )
+
+
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix as rows: each document as often as the schedule takes it.
+
+    A document taken 1.5 times gives one whole row and one row of its leading
+    words, up to the last word taken; one not taken gives none. Other columns
+    are passed through. Rows equal in id, text and source share what the
+    schedule takes of them.
+    """
+    shares = (
+        mix_sources(df, id_col, text_col, source_col)
+        .where("taken > 0")
+        .groupBy("id", "tie", "source", "size")
+        .agg(F.expr("sum(taken) div count(1)").alias("__taken"))
+        .select(
+            F.col("id").alias("__id"), F.col("tie").alias("__tie"), F.col("source").alias("__source"),
+            F.col("size").alias("__size"), "__taken",
+        )
+    )
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    same = (
+        (F.xxhash64(text) == F.col("__tie"))
+        & F.col(id_col).eqNullSafe(F.col("__id"))
+        & F.col(source_col).cast("string").eqNullSafe(F.col("__source"))
+    )
+    copies = F.expr("sequence(1, cast(ceil(__taken / __size) as int))")
+    part = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
+    words = F.regexp_extract_all(F.col(text_col), F.lit(f"([{chr(9)}-{chr(13)} ]*{WORD})"), F.lit(1))
+    cut = F.when(part >= F.col("__size"), F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), part.cast("int")), ""))
+    return df.join(shares, same).withColumn("__copy", F.explode(copies)).withColumn(text_col, cut).select(*[F.col(f"`{c}`") for c in df.columns])
