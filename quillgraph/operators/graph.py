@@ -136,15 +136,12 @@ def phrase_hits(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: str
     prepared = texts.select(F.col(id_col).alias("id"), words.alias("words"))
     if not lengths:
         return prepared.select("id", F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit("").alias("alias")).limit(0)
-    grams = F.concat(
-        *[
-            F.transform(
-                F.filter(F.sequence(F.lit(0), F.greatest(F.size("words") - n, F.lit(0))), lambda i, n=n: i + n <= F.size("words")),
-                lambda i, n=n: F.struct(i.alias("start"), F.lit(n).alias("n_words"), F.array_join(F.slice("words", i + 1, n), " ").alias("alias")),
-            )
-            for n in sorted(lengths)
-        ]
-    )
+    def grams_of(n: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("words") - n, F.lit(0))), lambda i: i + n <= F.size("words"))
+        text = lambda i: F.array_join(F.slice("words", i + 1, n), " ")
+        return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n_words"), text(i).alias("alias")))
+
+    grams = F.concat(*[grams_of(n) for n in sorted(lengths)])
     spread = prepared.select("id", F.explode(grams).alias("g")).select("id", "g.*")
     return spread.join(aliases.select("alias"), "alias", "left_semi").select("id", "start", "n_words", "alias")
 
