@@ -39,7 +39,7 @@ def weighted_rrf(rankings: DataFrame, constant: int = 10) -> DataFrame:
 
 def source_group_rrf(scored: DataFrame, constant: int = 60) -> DataFrame:
     """Ranks inside each ``source`` by score, then fuses the sources; rows ``query_id, source, item, score, position``."""
-    inside = Window.partitionBy("query_id", "source").orderBy(F.col("score").desc(), "position")
+    inside = Window.partitionBy("query_id", "source").orderBy(F.round("score", 9).desc(), "position")
     ranked = scored.select("query_id", "item", "source", "position", F.row_number().over(inside).alias("rank"))
     fused = ranked.groupBy("query_id", "item").agg(F.sum(reciprocal_rank("rank", constant)).alias("score"), F.min("position").alias("first"))
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "first", "item")

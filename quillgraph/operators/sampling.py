@@ -14,8 +14,9 @@ BOILERPLATE = ("copyright", "table of contents", "disclaimer", "acknowledg", "re
 def balanced(rows: DataFrame, category: str, item: str, n: int, seed: str = "42") -> DataFrame:
     """n rows spread evenly over categories, in hash order inside each."""
     order = Window.partitionBy(category).orderBy(hash_order(seed, item), item)
-    kinds = F.size(F.collect_set(category).over(Window.partitionBy()))
-    return rows.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= F.floor(F.lit(n) / kinds)).drop("__n")
+    kinds = rows.agg(F.greatest(F.count_distinct(category), F.lit(1)).alias("__kinds"))  # one row
+    ranked = rows.withColumn("__n", F.row_number().over(order)).crossJoin(F.broadcast(kinds))
+    return ranked.where(F.col("__n") <= F.floor(F.lit(n) / F.col("__kinds"))).drop("__n", "__kinds")
 
 
 def round_robin(rows: DataFrame, group: str, item: str, n: int, seed: str = "spread") -> DataFrame:
