@@ -7,9 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-CHUNK_SCHEMA = T.StructType.fromDDL(
+CHUNK_SCHEMA = (
     "chunk_id string, doc_id string, level int, heading string, parents_context string, content string, search_text string, "
     "prev_chunk_id string, next_chunk_id string, page_hint int, has_table boolean, table_refs array<string>, char_count int, "
     "line_count int, children_count int, metadata map<string,string>, summary string, hyde_questions array<string>, hyde_strategy string"
@@ -18,6 +17,11 @@ NODE_SCHEMA = "id string, label string, name string, properties string"
 EDGE_SCHEMA = "source string, target string, relation string, properties string"
 
 
+def struct_fields(ddl: str) -> str:
+    """``a string, b map<string,int>`` as the fields of a struct type."""
+    return ", ".join(f.replace(" ", ": ", 1) for f in ddl.split(", "))
+
+
 def must(df: DataFrame, failing: Column, message: str) -> DataFrame:
     """The same rows; the first row for which ``failing`` holds stops the job."""
     return df.where(F.when(failing, F.raise_error(F.lit(message))).otherwise(F.lit(True)))
@@ -29,8 +33,7 @@ def read_chunks(spark: SparkSession, pattern: str) -> DataFrame:
     Each file must hold one document and no document may be in two files.
     """
     files = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value"))
-    kind = T.ArrayType(CHUNK_SCHEMA)
-    rows = files.select("file", F.posexplode(F.from_json("value", kind)).alias("position", "row")).select("file", "position", "row.*")
+    rows = files.select("file", F.posexplode(F.from_json("value", f"array<struct<{struct_fields(CHUNK_SCHEMA)}>>")).alias("position", "row")).select("file", "position", "row.*")
     per_file = rows.groupBy("file").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("doc"))
     bad = per_file.where("docs != 1 OR doc = ''").select("file").union(
         per_file.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("file")).where("n > 1").select("file")
@@ -125,9 +128,11 @@ def verified_pages(pages: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def read_shortages(pages: DataFrame) -> DataFrame:
     """Flat shortage records out of raw pages; missing text is empty, missing lists are empty."""
-    record = "package_ndc string, generic_name string, company_name string, status string, availability string, shortage_reason string, initial_posting_date string, openfda struct<substance_name: array<string>, rxcui: array<string>>"
-    rows = pages.select(F.explode(F.from_json(F.col("body").cast("string"), f"results array<struct<{record.replace(' string', ': string').replace('openfda struct', 'openfda: struct')}>>")["results"]).alias("r"))
-    text = [F.coalesce(f"r.{c}", F.lit("")).alias(c) for c in record.replace(" string", "").split(", ")[:7]]
+    names = ["package_ndc", "generic_name", "company_name", "status", "availability", "shortage_reason", "initial_posting_date"]
+    record = ", ".join(f"{n}: string" for n in names) + ", openfda: struct<substance_name: array<string>, rxcui: array<string>>"
+    body = F.from_json(F.col("body").cast("string"), f"results array<struct<{record}>>")
+    rows = pages.select(F.explode(body["results"]).alias("r"))
+    text = [F.coalesce(f"r.{c}", F.lit("")).alias(c) for c in names]
     return rows.select(*text, F.coalesce("r.openfda.substance_name", F.array().cast("array<string>")).alias("ingredients"))
 
 
