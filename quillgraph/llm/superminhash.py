@@ -25,7 +25,8 @@ from quillgraph.llm.components import components
 from quillgraph.llm.hashing import WordHashes, mix, shingle_set
 
 _U = np.uint64
-BLOCK = 128
+#: members of one hub's part; members of one block
+PART, BLOCK = 128, 512
 
 
 def superminhash(elements: np.ndarray, owner: np.ndarray, sets: int, places: int) -> np.ndarray:
@@ -179,8 +180,8 @@ def _block_links(size: int, percent: int):
         if not len(vocabulary):
             return pd.DataFrame({"a": [], "b": []})
         inner = np.zeros((len(sets_l), len(sets_r)), np.float32)
-        for i in range(0, len(vocabulary), 50_000):
-            part = vocabulary[i : i + 50_000]
+        for i in range(0, len(vocabulary), 10_000):
+            part = vocabulary[i : i + 10_000]
             inner += matrix(sets_l, part) @ matrix(sets_r, part).T
         n_l, n_r = np.array([len(s) for s in sets_l]), np.array([len(s) for s in sets_r])
         hits = np.argwhere(linked(inner, n_l[:, None], n_r[None, :], percent))
@@ -236,7 +237,7 @@ def near_duplicates(
 
     # first: every member against its bucket's hub; a hub's members are dealt over parts
     pairs = members.where("set != hub").select("hub", "set").distinct()
-    parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
     dealt = pairs.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")))
     hubs = parts.select("hub", F.col("hub").alias("set"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     sent = dealt.select("hub", "set", "part").unionByName(hubs).join(texts, "set")
@@ -266,7 +267,7 @@ def near_duplicates(
     inside = placed.join(mixed, "bucket")
     weights = inside.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     # a large component has blocks of its own; small ones share blocks
-    apart = weights.withColumn("own", F.col("n") >= BLOCK // 2)
+    apart = weights.withColumn("own", F.col("n") >= BLOCK // 4)
     loose = apart.where("NOT own").groupBy("bucket").agg(F.ceil(F.sum("n") / BLOCK).alias("loose_blocks"))
     blocks = staged(
         inside.join(apart, ["bucket", "root"])
