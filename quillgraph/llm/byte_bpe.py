@@ -92,7 +92,7 @@ class _Memo(dict):
 class ByteBpe:
     """A byte-level BPE codec for a rank file and a pre-token pattern."""
 
-    def __init__(self, rank_file: bytes, pattern: str, memo_entries: int = 300_000) -> None:
+    def __init__(self, rank_file: bytes, pattern: str, memo_entries: int = 1_000_000) -> None:
         rows = sorted((int(rank), base64.b64decode(token)) for token, rank in map(bytes.split, rank_file.splitlines()))
         self.tokens = {rank: token for rank, token in rows}
         self.ranks = [rank for rank, _ in rows]
@@ -114,59 +114,75 @@ class ByteBpe:
         #: a space between white space, or after it at the end, belongs to a longer run
         self.runs = regex.compile(r"\s \s|\s \Z")
         self.plain = _Memo(self._pieces, self.memo_entries)
-        self.spaced = _Memo(lambda piece: self._pieces(" " + piece), self.memo_entries)
+        self.spaced = _Memo(self._spaced_pieces, self.memo_entries)
         self.decimal = {rank: str(rank) for rank in self.ranks}
+        of_byte, pair = self.of_byte, self.pairs.get
+        #: by first and second byte: the rank of the pair, or -1
+        self.of_bytes = [[pair(a << 32 | b, -1) for b in of_byte] for a in of_byte]
+        self.after, self.before = list(range(1, 257)), list(range(-1, 255))
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("pattern", "runs", "plain", "spaced", "decimal")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("pattern", "runs", "plain", "spaced", "decimal", "of_bytes", "after", "before")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
         self._prepare()
 
+    def _token(self, token: str) -> bytes:
+        """Ids of one pre-token: by the hash if it is an entry, else merged."""
+        raw = token.encode()
+        at = self.hash.find(raw)
+        return array("I", (self.ranks[at],) if at >= 0 else self.merge(raw)).tobytes()
+
+    def _spaced_pieces(self, piece: str) -> bytes:
+        """Ids of a piece with the space before it."""
+        if piece.isalpha():  # letters after a space are one pre-token
+            return self._token(" " + piece)
+        if piece[:-1].isalpha() and piece[-1] in ".,":  # then the mark is another
+            return self.spaced[piece[:-1]] + self.plain[piece[-1]]
+        return self._pieces(" " + piece)
+
     def _pieces(self, text: str) -> bytes:
-        ids = array("I")
-        for token in self.pattern.findall(text):
-            raw = token.encode()
-            at = self.hash.find(raw)
-            if at >= 0:
-                ids.append(self.ranks[at])
-            else:
-                ids.extend(self.merge(raw))
-        return ids.tobytes()
+        tokens = self.pattern.findall(text)
+        if len(tokens) == 1:
+            return self._token(text)
+        spaced, plain = self.spaced, self.plain
+        return b"".join([spaced[t[1:]] if t[0] == " " and t[1:].isalpha() else plain[t] for t in tokens])
 
     def merge(self, raw: bytes) -> list[int]:
         """Ids of one pre-token: always the lowest-ranked pair, leftmost first."""
-        of_byte, pair = self.of_byte, self.pairs.get
-        ids = [of_byte[b] for b in raw]
+        pair, n = self.pairs.get, len(raw)
+        ids = list(map(self.of_byte.__getitem__, raw))
         if min(ids) < 0:
             raise ValueError("the vocabulary lacks a byte")
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            rank = pair(ids[i] << 32 | ids[i + 1])
-            if rank is not None:
-                heap.append(rank << 32 | i)
+        after = self.after[:n] if n <= 256 else list(range(1, n + 1))
+        before = self.before[:n] if n <= 256 else list(range(-1, n - 1))
+        of_bytes = self.of_bytes
+        #: the rank of the pair that begins at each place, -1 for none
+        now = [of_bytes[a][b] for a, b in zip(raw, raw[1:], strict=False)]
+        heap = [rank << 32 | i for i, rank in enumerate(now) if rank >= 0]
+        now.append(-1)
         heapify(heap)
         while heap:
             top = heappop(heap)
-            i, rank = top & 0xFFFFFFFF, top >> 32
-            j = after[i]
-            # a pair whose parts have changed since is stale
-            if ids[i] < 0 or j >= n or pair(ids[i] << 32 | ids[j]) != rank:
+            i = top & 0xFFFFFFFF
+            rank = top >> 32
+            if now[i] != rank:  # one of its parts has changed since
                 continue
-            ids[i], ids[j] = rank, -1
+            j = after[i]
+            ids[i], ids[j], now[j] = rank, -1, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                new = pair(rank << 32 | ids[k])
-                if new is not None:
+                new = now[i] = pair(rank << 32 | ids[k], -1)
+                if new >= 0:
                     heappush(heap, new << 32 | i)
+            else:
+                now[i] = -1
             h = before[i]
             if h >= 0:
-                new = pair(ids[h] << 32 | rank)
-                if new is not None:
+                new = now[h] = pair(ids[h] << 32 | rank, -1)
+                if new >= 0:
                     heappush(heap, new << 32 | h)
         return [x for x in ids if x >= 0]
 
