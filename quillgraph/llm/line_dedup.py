@@ -1,8 +1,9 @@
-"""Removal of repeated multi-line chunks with content-defined boundaries.
+"""Removal of repeated passages of two lines or more.
 
-A rolling hash over the hashes of the last lines ends a chunk wherever it
-leaves no remainder, so inserted or missing lines move only the boundaries next
-to them. Chunks of two lines or more are counted by hash over all documents;
+Every pair of neighbouring lines is looked up, so what is found doesn't depend
+on where a passage begins or ends or on the lines around it: a passage of two
+lines or more that stands in an earlier place is covered by pairs that do. A
+rolling hash over the hashes of both lines counts the pairs over all documents;
 those that repeat are compared byte by byte with their first occurrence and
 removed where they are equal.
 """
@@ -19,27 +20,19 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import staged
 
-LEAST, MOST, LOOK, DIVISOR = 2, 32, 2, 2
+SPAN = 2
 LAST = (1 << 63) - 1
 
 
 def line_chunks(lines: list[bytes]) -> list[tuple[int, int]]:
-    """(first line, number of lines) of each chunk of a text.
+    """(first line, number of lines) of each chunk of a text: all pairs of neighbouring lines, overlapping."""
+    return [(i, SPAN) for i in range(len(lines) - SPAN + 1)]
 
-    A chunk ends after a line where the hash of it and the line before is
-    divisible, once it has two lines, or at 32 lines.
-    """
-    hashes = [xxhash.xxh3_64_intdigest(line) for line in lines]
-    found, first = [], 0
-    for i, h in enumerate(hashes):
-        size = i - first + 1
-        rolled = h if i < LOOK - 1 else (hashes[i - 1] * 0x9E3779B97F4A7C15 + h) & 0xFFFFFFFFFFFFFFFF
-        if (size >= LEAST and (rolled >> 32) % DIVISOR == 0) or size >= MOST:
-            found.append((first, size))
-            first = i + 1
-    if first < len(lines):
-        found.append((first, len(lines) - first))
-    return found
+
+def pair_hashes(lines: list[bytes]) -> np.ndarray:
+    """A signed hash of every pair of neighbouring lines."""
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
+    return (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]).view(np.int64)
 
 
 def _tie(raw: bytes) -> int:
@@ -47,43 +40,39 @@ def _tie(raw: bytes) -> int:
     return xxhash.xxh32_intdigest(raw) - (1 << 31)
 
 
-def _signed(n: int) -> int:
-    return n - (1 << 64) if n >> 63 else n
-
-
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, text) to the hash of every multi-line chunk."""
+    """Rows (doc, text) to the hash of every pair of lines."""
     for batch in batches:
-        rows = []
+        docs, ties, counts, hashes = [], [], [], []
         for doc, value in zip(batch.column(0), batch.column(1), strict=True):
             raw = value.as_py().encode()
             lines = raw.split(b"\n")
-            if len(lines) < LEAST:
+            if len(lines) < SPAN:
                 continue
-            tie, doc = _tie(raw), doc.as_py()
-            rows += [
-                (doc, tie, first, n, _signed(xxhash.xxh3_64_intdigest(b"\n".join(lines[first : first + n]))))
-                for first, n in line_chunks(lines)
-                if n >= LEAST
+            docs.append(doc.as_py())
+            ties.append(_tie(raw))
+            counts.append(len(lines) - SPAN + 1)
+            hashes.append(pair_hashes(lines))
+        if hashes:
+            columns = [
+                np.repeat(np.array(docs, np.int64), counts),
+                np.repeat(np.array(ties, np.int32), counts),
+                np.concatenate([np.arange(n, dtype=np.int32) for n in counts]),
+                np.concatenate(hashes),
             ]
-        if rows:
-            columns = [np.array(c) for c in zip(*rows, strict=True)]
-            kinds = [np.int64, np.int32, np.int32, np.int32, np.int64]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], names=["doc", "tie", "first", "n", "hash"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "tie", "first", "hash"])
 
 
 def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc, text, flags) to the bytes of the flagged chunks."""
-    schema = pa.schema([("doc", pa.int64()), ("tie", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("hash", pa.int64()), ("leads", pa.bool_()), ("chunk", pa.binary())])
+    schema = pa.schema([("doc", pa.int64()), ("tie", pa.int32()), ("first", pa.int32()), ("hash", pa.int64()), ("leads", pa.bool_()), ("chunk", pa.binary())])
     for batch in batches:
         rows = []
         for doc, value, flags in zip(*batch.columns, strict=True):
             raw = value.as_py().encode()
             tie, lines = _tie(raw), raw.split(b"\n")
             rows += [
-                {"doc": doc.as_py(), **f, "chunk": b"\n".join(lines[f["first"] : f["first"] + f["n"]])}
+                {"doc": doc.as_py(), **f, "chunk": b"\n".join(lines[f["first"] : f["first"] + SPAN])}
                 for f in flags.as_py()
                 if f["tie"] == tie
             ]
@@ -92,21 +81,23 @@ def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows with repeated chunks taken out of ``text_col``.
+    """The input rows with repeated passages of lines taken out of ``text_col``.
 
     Adds ``n_lines`` and ``n_removed`` (lines, before and taken out); a column
     of the input with such a name is replaced. The occurrence with the smallest
-    (id, line) stays, null ids coming last. Removed lines go with their line
-    ends; what is left is joined by line feeds, and a text may end up empty but
+    (id, line) stays, null ids coming last, and a line that is taken out stays in
+    at least one other place. A pair that shares a line with its own first
+    occurrence (three equal lines in a row) is no repeat. An empty line is a
+    line like any other. Removed lines go with their line ends; what is left is joined by line feeds, and a text may end up empty but
     its row stays. A null text stays null, with 0 lines. Rows that share id and
-    text share their fate; single lines, however frequent, stay. A chunk that
+    text share their fate; single lines, however frequent, stay. A pair that
     shares its hash but not its bytes with the first occurrence stays. An empty
     table gives no rows.
     """
     docs = df.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    chunks = docs.mapInArrow(_chunk_rows, "doc long, tie int, first int, n int, hash long")
+    chunks = docs.mapInArrow(_chunk_rows, "doc long, tie int, first int, hash long")
     repeated = staged(
         chunks.groupBy("hash")
         .agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "first", "tie")).alias("leader"))
@@ -115,16 +106,18 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "line-repeated",
     )
     leads = F.struct("doc", "first", "tie") == F.col("leader")
+    overlaps = F.expr(f"doc = leader.doc AND tie = leader.tie AND first > leader.first AND first < leader.first + {SPAN}")
     flags = (
         chunks.join(repeated, "hash")
-        .select("doc", F.struct("tie", "first", "n", "hash", leads.alias("leads")).alias("flag"))
+        .where(~overlaps)
+        .select("doc", F.struct("tie", "first", "hash", leads.alias("leads")).alias("flag"))
         .groupBy("doc")
         .agg(F.collect_set("flag").alias("flags"))
     )
     pieces = staged(
         docs.join(flags, "doc")
         .select("doc", "text", "flags")
-        .mapInArrow(_text_rows, "doc long, tie int, first int, n int, hash long, leads boolean, chunk binary"),
+        .mapInArrow(_text_rows, "doc long, tie int, first int, hash long, leads boolean, chunk binary"),
         "line-chunks",
     )
     models = pieces.where("leads").groupBy("hash").agg(F.min("chunk").alias("model"))
@@ -133,7 +126,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .join(staged(models, "line-models"), "hash")
         .where("chunk = model")
         .groupBy(F.col("doc").alias("__doc"))
-        .agg(F.collect_set(F.struct("tie", "first", "n")).alias("__cuts"))
+        .agg(F.collect_set(F.struct("tie", "first")).alias("__cuts"))
     )
     names = [c for c in df.columns if c not in (text_col, "n_lines", "n_removed")]
     wide = df.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias("__text"))
@@ -149,7 +142,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 if text is not None and cuts.is_valid:
                     raw = text.encode()
                     tie, lines = _tie(raw), raw.split(b"\n")
-                    drop = {i for c in cuts.as_py() if c["tie"] == tie for i in range(c["first"], c["first"] + c["n"])}
+                    drop = {i for c in cuts.as_py() if c["tie"] == tie for i in range(c["first"], c["first"] + SPAN)}
                     gone = len(drop)
                     text = b"\n".join(x for i, x in enumerate(lines) if i not in drop).decode() if drop else text
                 texts.append(text)

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 from quillgraph.llm.line_dedup import line_chunks, line_dedup
@@ -54,3 +55,35 @@ def test_repeats_inside_one_text_and_empty_table(spark, no_docs):
     row = line_dedup(df).first()
     assert 0 < row["n_removed"] <= 40 and row["text"].startswith(block[:40])
     assert line_dedup(no_docs).count() == 0
+
+
+def test_every_repeated_run_of_lines_goes(spark):
+    """Against a look-up of all runs: passages of 2 to 9 lines inside otherwise different texts."""
+    rng = random.Random(5)
+    shared = [[f"passage {p} line {i}" for i in range(2 + p % 8)] for p in range(40)]
+    texts = []
+    for d in range(120):
+        lines = [f"own {d} {i}" for i in range(rng.randrange(1, 9))]
+        for p in rng.sample(range(40), 2):
+            at = rng.randrange(len(lines) + 1)
+            lines[at:at] = shared[p]
+        texts.append("\n".join(lines))
+    texts.append("\n".join(["same"] * 5))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_dedup(df).collect()}
+
+    earlier, everywhere = set(), set()
+    for d, text in enumerate(texts[:-1]):
+        lines, gone = text.split("\n"), set()
+        for n in range(2, 10):
+            for i in range(len(lines) - n + 1):
+                run = tuple(lines[i : i + n])
+                if run in earlier:
+                    gone |= set(range(i, i + n))
+        earlier |= {tuple(lines[i : i + n]) for n in range(2, 10) for i in range(len(lines) - n + 1)}
+        assert got[d]["text"].split("\n") == ([x for i, x in enumerate(lines) if i not in gone] or [""])
+        assert got[d]["n_removed"] == len(gone)
+        everywhere |= set(lines)
+    kept = {x for d in range(len(texts) - 1) for x in got[d]["text"].split("\n")} - {""}
+    assert kept == everywhere
+    assert got[len(texts) - 1]["text"] == "same\nsame"
