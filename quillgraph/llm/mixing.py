@@ -5,7 +5,8 @@ stream, cut into blocks of equal token counts. Slot ``i`` of the schedule takes
 the golden-ratio point frac((i + 1) / phi), which falls into one source's share
 of the unit interval; the k-th slot of a source takes its k-th block, going
 round again when the stream is used up. Every prefix of the schedule is close
-to the target mix.
+to the target mix. What the slots leave open, because a source's last block is
+short or its share falls between two slots, is settled at the end to the word.
 """
 
 from __future__ import annotations
@@ -124,8 +125,10 @@ def mix_sources(
 
     ``size`` is the number of words (null text: 0); ``taken`` is how many words
     of the row the schedule takes, repeats counted, at most ``most`` times its
-    size. The block is the total target over ``max_slots``, at least
-    ``least_block`` words, so the schedule never outgrows ``max_slots`` rows.
+    size; over a source it sums to the rounded target. The block is the total
+    target over ``max_slots``, at least ``least_block`` words, so the schedule
+    never outgrows ``max_slots`` rows. Slots that a source doesn't need are left
+    out, those it lacks follow the schedule, and its last one ends at the target.
     Null sources are one source of their own; null ids and rows that repeat an
     id are rows like any other (rows equal in id, source and text may swap
     places, which changes no sum). An empty table gives no rows, and a table
@@ -145,20 +148,42 @@ def mix_sources(
     targets = staged(source_targets(docs, most=float(most)), "mix-targets")
     total = targets.agg(F.sum("target")).first()[0] or 0.0
     block = max(least_block, int(-(-total // max_slots)))
-    slots = round(total / block)
+    slots = max(1, round(total / block)) if total else 0
     placed = token_streams(docs, seed)
     named = targets.select(F.col("source").alias("__s"), "source_size", "target")
     if not slots:
         return placed.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("__s")), "left").select(
             "id", "tie", "size", "source", "source_size", "target", "start", F.lit(0).cast("long").alias("taken")
         )
-    blocks = (
+    goal, rest = F.round("target").cast("long"), F.expr("cast(round(target) as long) % source_size")
+    needs = named.where("source_size > 0").select(
+        "__s",
+        F.ceil(F.col("source_size") / block).alias("blocks"),
+        rest.alias("rest"),
+        (F.floor(goal / F.col("source_size")) * F.ceil(F.col("source_size") / block) + F.ceil(rest / block)).alias("needed"),
+    )
+    dealt = staged(
         schedule(spark, targets, block, slots)
-        .join(named, F.col("source").eqNullSafe(F.col("__s")))
-        .withColumn("blocks", F.ceil(F.col("source_size") / block))
-        .where(F.col("rank") < most * F.col("blocks"))
+        .join(needs, F.col("source").eqNullSafe(F.col("__s")))
+        .where("rank < needed")
         .groupBy(F.col("source").alias("__src"), (F.col("rank") % F.col("blocks")).alias("__block"))
-        .agg(F.count(F.lit(1)).alias("times"))
+        .agg(F.count(F.lit(1)).alias("times")),
+        "mix-blocks",
+    )
+    got = dealt.groupBy(F.col("__src").alias("__g")).agg(F.sum("times").alias("got"))
+    lacking = (
+        needs.join(got, F.col("__s").eqNullSafe(F.col("__g")), "left")
+        .withColumn("got", F.coalesce("got", F.lit(0)))
+        .where("got < needed")
+        .select(F.col("__s").alias("__src"), "blocks", F.explode(F.expr("sequence(got, needed - 1)")).alias("rank"))
+        .select("__src", (F.col("rank") % F.col("blocks")).alias("__block"), F.lit(1).cast("long").alias("times"))
+    )
+    blocks = (
+        dealt.unionByName(lacking)
+        .groupBy("__src", "__block")
+        .agg(F.sum("times").alias("times"))
+        .join(F.broadcast(needs.select("__s", "rest")), F.col("__src").eqNullSafe(F.col("__s")))
+        .drop("__s")
     )
     pieces = (
         placed.where("size > 0")
@@ -170,10 +195,13 @@ def mix_sources(
         )
         .withColumnRenamed("__block", "__b")
     )
+    # the last slot of a source takes its block up to ``rest`` only
+    last = F.expr(f"rest % {block} > 0 AND __b = rest div {block}")
+    beyond = F.greatest(F.lit(0), F.least("part", F.greatest("start", F.col("__b") * block) + F.col("part") - F.col("rest")))
     taken = (
         pieces.join(blocks, F.col("source").eqNullSafe(F.col("__src")) & (F.col("__b") == F.col("__block")))
         .groupBy("id", "tie", "source", "start")
-        .agg(F.sum(F.col("part") * F.col("times")).alias("got"))
+        .agg(F.sum(F.col("part") * F.col("times") - F.when(last, beyond).otherwise(0)).alias("got"))
         .select(
             F.col("id").alias("__id"), F.col("tie").alias("__tie"), F.col("source").alias("__src"),
             F.col("start").alias("__start"), "got",

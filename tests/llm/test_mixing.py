@@ -80,3 +80,20 @@ def test_empty_tables(spark, no_docs):
     assert mix_sources(no_docs).count() == 0 and mixed_documents(no_docs).count() == 0
     blank = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert [r["taken"] for r in mix_sources(blank).select(F.col("taken")).collect()] == [0, 0]
+
+
+def test_small_sources_get_their_targets(spark):
+    """Blocks far larger than the small sources: each still gives its target to the word."""
+    sizes = {"a": [700] * 60, "b": [7] * 43, "c": [1] * 100, "d": [90] * 8 + [80], "e": [500] * 5, "f": [2], None: [33]}
+    rows = [(s, " ".join(["w"] * n)) for s, ns in sizes.items() for n in ns]
+    df = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string")
+    for max_slots in (8, 40, 1 << 22):
+        taken = Counter()
+        for r in mix_sources(df, max_slots=max_slots).collect():
+            goal = int(r["target"] + 0.5)
+            whole, rest = divmod(goal, r["source_size"])
+            assert r["taken"] == whole * r["size"] + min(max(rest - r["start"], 0), r["size"])
+            taken[r["source"]] += r["taken"]
+        assert taken == {s: int(t + 0.5) for s, t in water({s: sum(ns) for s, ns in sizes.items()}).items()}
+    few = spark.createDataFrame([(1, "three words here", "a")], df.schema)
+    assert mix_sources(few).first()["taken"] == 5
