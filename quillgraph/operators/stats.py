@@ -20,17 +20,19 @@ def bootstrap_means(values: DataFrame, iterations: int = 1000, seed: int = 20260
     """Mean and 95 % interval per ``label`` from rows ``label, unit, value``, without collecting.
 
     Sample b draws as many units as there are, the i-th by a hash of (seed,
-    label, b, i); units are numbered by id. Quantiles interpolate linearly.
+    label, b, i); units are numbered by id. Quantiles interpolate linearly. The
+    values are sent to the samples, which are dealt out before they are drawn.
     """
     by = Window.partitionBy("label").orderBy("unit")
     numbered = values.select("label", "value", (F.row_number().over(by) - 1).alias("nth"))
     sizes = numbered.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
     draws = (
         sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+        .repartition("label", "b")
         .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
         .withColumn("nth", F.pmod(F.xxhash64(F.lit(seed), "label", "b", "i"), F.col("n")))
     )
-    samples = draws.join(numbered, ["label", "nth"]).groupBy("label", "b").agg(F.avg("value").alias("m"))
+    samples = draws.join(F.broadcast(numbered), ["label", "nth"]).groupBy("label", "b").agg(F.avg("value").alias("m"))
     bands = samples.groupBy("label").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return sizes.join(bands, "label").select(
         "label", "n", F.round("mean", 6).alias("mean"), F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high")

@@ -353,4 +353,4 @@ def bootstrap_intervals(spark, sf_dir):
     values = table(spark, sf_dir, "supplier").select(
         F.col("s_nationkey").alias("label"), F.col("s_suppkey").alias("unit"), F.col("s_acctbal").alias("value")
     )
-    return stats.bootstrap_means(values, iterations=200)
+    return stats.bootstrap_means(values, iterations=10_000)

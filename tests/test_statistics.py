@@ -67,3 +67,12 @@ def test_bootstraps(spark):
 def test_confusion_has_zeros(spark):
     df = spark.createDataFrame([("y", "y"), ("y", "n")], "a string, b string")
     assert {(r["a"], r["b"]): r["n"] for r in stats.confusion(df, ["y", "n"]).collect()} == {("y", "y"): 1, ("y", "n"): 1, ("n", "y"): 0, ("n", "n"): 0}
+
+
+def test_bootstrap_query_draws_ten_thousand(spark, monkeypatch):
+    from quillgraph.plans import retrieval_queries
+
+    asked = {}
+    monkeypatch.setattr(stats, "bootstrap_means", lambda values, **k: asked.update(k) or values)
+    assert retrieval_queries.bootstrap_intervals(spark, "/root/testdata/sf0.001").count() > 0
+    assert asked["iterations"] == 10_000
