@@ -16,11 +16,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, a laptop) a local temporary folder is
-    used; on a cluster the setting must name shared storage.
+    Where the setting is absent and the master is local (tests, a laptop) a
+    local temporary folder is used; on a cluster the setting must name shared
+    storage, and without it nothing is written.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -52,6 +56,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(df: DataFrame) -> None:
+    """Delete a table that ``staged`` gave back and that no later job reads."""
+    for name in df.inputFiles()[:1]:
+        remove_path(df.sparkSession, name.rpartition("/")[0])
+
+
 def _guarded(spark: SparkSession, path: str) -> None:
     try:
         _remove_at_exit(spark, path)

@@ -1,43 +1,65 @@
-"""Connected components over distributed links: union-find by rounds of joins."""
+"""Connected components over distributed links: union-find by graph contraction."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import staged
+from quillgraph.llm.common import released, staged
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """``node, root`` for every node of ``links`` (columns ``a``, ``b``).
+def _hooks(edges: DataFrame, round_: int) -> DataFrame:
+    """``node, up``: each node's first neighbour, or itself where it comes before all of them.
 
-    The root is the least node reachable. Each round gives every node the least
-    root among its neighbours and then replaces roots by their own roots, so a
-    chain of n nodes takes about log n rounds. Every round is written to the
-    shared folder; nothing is collected but the number of changes.
+    Nodes with more neighbours come first, equals in a hash order of the round.
     """
-    both = staged(
-        links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(),
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degrees = both.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
+    order = lambda node: F.struct(-F.col("degree"), F.xxhash64(F.lit(round_), F.col(node)), F.col(node).alias("node"))
+    offers = both.select(F.col("a").alias("to"), F.col("b").alias("a")).join(degrees, "a").select("to", order("a").alias("offer"))
+    own = degrees.select(F.col("a").alias("to"), order("a").alias("offer"))
+    return offers.unionByName(own).groupBy(F.col("to").alias("node")).agg(F.min("offer")["node"].alias("up"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``node, root`` for every node of ``links`` (columns ``a``, ``b``); the root is the least node reachable.
+
+    Each round contracts the graph: a node is merged into the first of its
+    neighbours, edges are renamed and what has become a loop goes. The order of
+    nodes is drawn anew every round, so about half of the nodes that still have
+    edges vanish in each, in chains and in stars alike, and the number of rounds
+    grows with the logarithm of the largest component. There is no limit on the
+    rounds: every round merges a node at least. The merges are then followed
+    back from the last round to the first. All tables are in the shared folder;
+    nothing is collected. Null ends are no links; repeated links and loops are
+    allowed, and a node with only loops is its own root.
+    """
+    given = staged(
+        links.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
         "component-links",
     )
-    state = staged(
-        both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "component-roots"
-    )
-    for _ in range(rounds):
-        near = (
-            both.join(state.select(F.col("node").alias("b"), "root"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("root").alias("near"))
-        )
-        stepped = state.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        above = state.select(F.col("node").alias("up"), F.col("root").alias("top"))
+    edges, merges = given.where("a != b"), []
+    while not edges.isEmpty():
+        hooks = staged(_hooks(edges, len(merges)), "component-hooks")
         new = staged(
-            stepped.join(above, F.col("root") == F.col("up"), "left").select(
-                "node", "old", F.coalesce(F.least("root", "top"), "root").alias("root")
-            ),
-            "component-roots",
+            edges.join(hooks.select(F.col("node").alias("a"), F.col("up").alias("one")), "a")
+            .join(hooks.select(F.col("node").alias("b"), F.col("up").alias("two")), "b")
+            .where("one != two")
+            .select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"))
+            .distinct(),
+            "component-edges",
         )
-        state = new.select("node", "root")
-        if new.where("old != root").isEmpty():
-            return state
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if merges:
+            released(edges)
+        merges.append(hooks)
+        edges = new
+    nodes = given.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if not merges:
+        return nodes.select("node", F.col("node").alias("root"))
+    ends = merges[-1]
+    for hooks in reversed(merges[:-1]):
+        later = ends.select(F.col("node").alias("up"), F.col("up").alias("end"))
+        ends = staged(hooks.join(later, "up", "left").select("node", F.coalesce("end", "up").alias("up")), "component-ends")
+    named = nodes.join(ends, "node", "left").select("node", F.coalesce("up", "node").alias("up"))
+    least = named.groupBy("up").agg(F.min("node").alias("root"))
+    return named.join(least, "up").select("node", "root")

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from quillgraph.llm import components as parts
 from quillgraph.llm.components import components
 from quillgraph.llm.superminhash import near_duplicates, superminhash
 from quillgraph.llm.hashing import mix
@@ -89,7 +90,33 @@ def test_signature_does_not_depend_on_company():
 
 
 def test_components_of_a_chain_and_a_star(spark):
-    links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(5, 5)]
+    links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(5, 5), (200, 200), (None, 3), (7, 6)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 130))
+    assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 130)) and got[200] == 200
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert [tuple(r) for r in components(spark.createDataFrame([(4, 4)], "a long, b long")).collect()] == [(4, 4)]
+
+
+@pytest.mark.parametrize("order", ["random", "falling"])
+def test_long_chains_settle_in_few_rounds(spark, monkeypatch, order):
+    """A path of 2,000 nodes with labels that a spreading minimum walks one by one."""
+    n = 2000
+    place = np.random.default_rng(4).permutation(n).tolist() if order == "random" else [0, *range(n - 1, 0, -1)]
+    links = spark.createDataFrame(list(zip(place, place[1:], strict=False)), "a long, b long")
+    rounds = []
+    hooks = parts._hooks
+    monkeypatch.setattr(parts, "_hooks", lambda edges, i: rounds.append(i) or hooks(edges, i))
+    got = components(links).collect()
+    assert len(got) == n and {r["root"] for r in got} == {0} and len(rounds) <= 30
+
+
+def test_a_chain_of_versions_is_one_group(spark):
+    """Each text is 3 words away from the one before; only neighbours are near enough."""
+    now, rows = [f"w{i}" for i in range(150)], []
+    for i in range(400):
+        now = list(now)
+        for j in range(3):
+            now[(i * 31 + j * 50) % 150] = f"v{i}x{j}"
+        rows.append((1000 - i, " ".join(now)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=85).collect()
+    assert sorted(tuple(r)[:3] for r in got) == sorted(plain(rows, 3, 85))
