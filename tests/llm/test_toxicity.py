@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm.toxicity import SubsequenceKernel, fit, keep_clean, score_toxicity, sentences, train
+from quillgraph.llm.toxicity import POWER, SubsequenceKernel, fit, fragments, keep_clean, score_toxicity, sentences, train
 
 INSULTS = ("blockhead", "nincompoop", "scoundrel")
 
@@ -38,9 +38,55 @@ def test_held_out_accuracy(model):
     assert (said == np.array([r[3] for r in rows])).mean() > 0.97
 
 
+def said(model, words):
+    return dict(zip(words, model.scores([f"he is a {w} an be." for w in words]), strict=True))
+
+
 def test_spelled_out_and_padded_insults(model):
-    plain, spelled, dotted, one_more = model.scores([f"he is a {w} an be." for w in ("meko", "b l o c k h e a d", "n.i.n.c.o.m.p.o.o.p", "nincompooop")])
-    assert plain < 0.5 <= min(spelled, dotted) and one_more > plain
+    words = ["meko", "b l o c k h e a d", "n.i.n.c.o.m.p.o.o.p", "s-c-o-u-n-d-r-e-l", "nincompooop", "bloockhead", "blockkhead", "scounddrel", "block-head", "blokhead", "ninncomppoop"]
+    plain, *others = said(model, words).values()
+    assert plain < 0.2
+    for word, score in zip(words[1:], others, strict=True):
+        assert score >= 0.5 or (word == "blokhead" and score > 2 * plain), (word, score)
+
+
+def test_clean_words_like_insults_are_told_apart():
+    """Clean words near an insult become landmarks against it."""
+    rng, rows = random.Random(5), made(700, 8)
+    near = [(t.replace(".", " scoundrels.", 1) if rng.random() < 0.04 and not y else t, y) for _, t, _, y in rows]
+    model = fit([t for t, _ in near], [y for _, y in near])
+    assert "scoundrels" in model.landmarks
+    got = said(model, ["scoundrels", "scoundrel"])
+    assert got["scoundrels"] < 0.5 <= got["scoundrel"]
+
+
+def test_other_scripts():
+    """Letters of any script have codes of their own."""
+    kernel = SubsequenceKernel(["привет", "idiot"])
+    assert (kernel.against(["дурак", "banana", "中文字"]) == 0).all()
+    assert np.allclose(kernel.against(["привет", "idiot"]), np.eye(2), atol=1e-5)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("абвгдежзиклмнопрст") for _ in range(rng.randrange(3, 8)))
+    rows = [(" ".join([*(word() for _ in range(8)), *(["негодяй"] if i % 4 == 0 else [])]), int(i % 4 == 0)) for i in range(400)]
+    model = fit([t for t, _ in rows], [y for _, y in rows])
+    scores = model.scores(["негодяй", "он негоодяй", "н е г о д я й", "привет мир", "дом и лес"])
+    assert min(scores[:3]) >= 0.5 > max(scores[3:])
+
+
+def test_training_and_scoring_pool_alike(model):
+    """A long token counts with all its fragments, wherever they stand."""
+    long = "anbecodublockheadelfigohainjokale"
+    assert len(fragments(long)) > 1 and fragments("ab1") == [] and fragments("a" * 17) == ["a" * 16, "a" * 9]
+    model.learn_tokens({long, *fragments(long)})
+    assert model.memo[long] == sum(model.memo[w] for w in fragments(long))
+    covered = "".join(fragments("abcdefghijklmnopqrstuvwxyz" * 3))
+    assert set("abcdefghijklmnopqrstuvwxyz") <= set(covered)
+
+
+def test_very_long_texts(model):
+    text = "an be co. " * 200_000
+    clean, toxic = model.scores([text, text + "du el blockhead fi."])
+    assert clean < 0.5 <= toxic
 
 
 def test_kernel_against_plain_sums():
@@ -57,10 +103,10 @@ def test_kernel_against_plain_sums():
     def k(a, b):
         dot = lambda x, y: sum(v * y.get(u, 0) for u, v in x.items())
         x, y = phi(a), phi(b)
-        return (dot(x, y) / np.sqrt(dot(x, x) * dot(y, y))) ** 10
+        return (dot(x, y) / np.sqrt(dot(x, x) * dot(y, y))) ** POWER
 
-    kernel, words, marks = SubsequenceKernel(), ["idiot", "banana", "idiiot", "abc", "xyz"], ["idiot", "bandana"]
-    got = kernel.against(words, np.ascontiguousarray(kernel.dense(marks).T))
+    words, marks = ["idiot", "banana", "idiiot", "abc", "xyz", "бидон", "bändana"], ["idiot", "bandana", "дубина"]
+    got = SubsequenceKernel(marks).against(words)
     assert np.allclose(got, [[k(a, b) for b in marks] for a in words], atol=1e-5)
 
 
@@ -76,9 +122,9 @@ def test_degenerate_training():
 
 
 def test_sentences_hold_all_words():
-    text = "A b. " + "w " * 100 + "! i d i o t"
+    text = "A b. " + "we " * 100 + "! i d i o t. x-y-z and a.b"
     flat = [w for s in sentences(text) for w in s]
-    assert flat.count("w") == 100 and "idiot" in flat and max(map(len, sentences(text))) <= 24
+    assert flat.count("we") == 100 and {"idiot", "xyz", "a", "b"} <= set(flat) and max(map(len, sentences(text))) <= 24
 
 
 def test_operators(spark, clashing, rows, no_docs):
