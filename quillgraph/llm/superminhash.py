@@ -78,7 +78,7 @@ def signed(df: DataFrame, size: int, places: int, rows: int) -> DataFrame:
     """``doc, n, set, bands`` from rows ``doc, text``; an empty set has null ``set`` and ``bands``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = WordHashes(200_000)
 
         def flush(ids, sets):
             lengths = np.array([len(s) for s in sets])
@@ -101,7 +101,7 @@ def signed(df: DataFrame, size: int, places: int, rows: int) -> DataFrame:
                 ids.append(doc.as_py())
                 sets.append(shingle_set((value.as_py() or "").encode(), hashes, size))
                 total += len(sets[-1])
-                if total > 100_000:
+                if total > 50_000:
                     yield flush(ids, sets)
                     ids, sets, total = [], [], 0
             if ids:
@@ -115,7 +115,7 @@ def _with_texts(df: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     rows = df.join(nodes, "doc").select("doc", "text", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = WordHashes(200_000)
         for batch in batches:
             # rows that share an id but not the text have another set
             same = [
