@@ -186,8 +186,8 @@ class ByteBpe:
                     heappush(heap, new << 32 | h)
         return [x for x in ids if x >= 0]
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text, without special tokens.
+    def packed(self, text: str) -> bytes:
+        """Ids of a whole text as 32-bit little-endian numbers, without special tokens.
 
         A space with no white space on its other side always begins a
         pre-token, so a text is cut at spaces and the parts looked up in the
@@ -195,11 +195,13 @@ class ByteBpe:
         """
         if self.runs.search(text):
             plain = self.plain
-            packed = b"".join([plain[token] for token in self.pattern.findall(text)])
-        else:
-            first, *rest = text.split(" ")
-            packed = self.plain[first] + b"".join(map(self.spaced.__getitem__, rest))
-        return np.frombuffer(packed, np.uint32).tolist()
+            return b"".join([plain[token] for token in self.pattern.findall(text)])
+        first, *rest = text.split(" ")
+        return self.plain[first] + b"".join(map(self.spaced.__getitem__, rest))
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a whole text, without special tokens."""
+        return np.frombuffer(self.packed(text), np.uint32).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

@@ -52,7 +52,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/quillgraph-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_guarded, spark, path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,6 +62,11 @@ def released(df: DataFrame) -> None:
         remove_path(df.sparkSession, name.rpartition("/")[0])
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the application ends."""
+    atexit.register(_guarded, spark, path)
+
+
 def _guarded(spark: SparkSession, path: str) -> None:
     try:
         _remove_at_exit(spark, path)

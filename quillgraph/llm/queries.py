@@ -15,7 +15,7 @@ from quillgraph.llm.line_dedup import line_dedup
 from quillgraph.llm.mixing import mix_sources
 from quillgraph.llm.substring_dedup import substring_dedup
 from quillgraph.llm.superminhash import near_duplicates
-from quillgraph.llm.token_shards import write_shards
+from quillgraph.llm.token_shards import bpe_ids, write_shards
 from quillgraph.llm.toxicity import score_toxicity, train
 from quillgraph.llm.url_rules import filter_urls
 
@@ -77,9 +77,9 @@ def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where every token sequence of all documents lies in the shards."""
-    return write_shards(_table(spark, sf_dir, "documents"))
+def op9_token_shards(spark: SparkSession, sf_dir: str, ranks: str = RANKS) -> DataFrame:
+    """Where every sequence of token ids of all documents lies in the shards."""
+    return write_shards(_table(spark, sf_dir, "documents"), ids=bpe_ids(codec(ranks, public_tokenizers.PATTERN)))
 
 
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,11 @@
 The token ids of all documents form one stream, each document closed by an end
 id, cut into sequences of equal length. A keyed Feistel network with
 cycle-walking permutes the sequence numbers, which gives every sequence its
-slot in training order without sorting or storing a permutation. Each task
-writes the shards of its slot range; a record's place in its file is its slot
-times the stride, so reading is sequential and resumes anywhere.
+slot in training order without sorting or storing a permutation. Documents are
+numbered by a key of their id and text, so the stream doesn't depend on how the
+input is split. Each task writes the shards of its slot range; a record's place
+in its file is its slot times the stride, so reading is sequential and resumes
+anywhere.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark import TaskContext
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import shared_root
+from quillgraph.llm.byte_bpe import ByteBpe
+from quillgraph.llm.common import hash_buckets, remove_at_exit, running_total, shared_root, staged
 from quillgraph.llm.hashing import mix
 
 MAGIC = b"QGSHARD1"
@@ -40,12 +43,36 @@ class Ids:
     width: int
     end: bytes
 
+    def __reduce__(self) -> tuple:  # functions of any kind can be sent
+        return _ids_of, (cloudpickle.dumps(self.encode), self.width, self.end)
+
+
+def _ids_of(encode: bytes, width: int, end: bytes) -> Ids:
+    return Ids(cloudpickle.loads(encode), width, end)
+
 
 def utf8_ids() -> Ids:
     """Byte-level ids: UTF-8 bytes as they are; 255, which UTF-8 never uses, ends a document."""
     return Ids(str.encode, 1, b"\xff")
 
 
+@dataclass(frozen=True)
+class _Narrow:
+    """Encodes with a byte-level BPE codec in as few bytes an id as its vocabulary needs."""
+
+    bpe: ByteBpe
+    width: int
+
+    def __call__(self, text: str) -> bytes:
+        return np.frombuffer(self.bpe.packed(text), "<u4").astype(f"<u{self.width}").tobytes()
+
+
+def bpe_ids(bpe: ByteBpe) -> Ids:
+    """Ids of a byte-level BPE codec, two bytes an id where the vocabulary allows; the largest number ends a document."""
+    width = 2 if max(bpe.ranks, default=0) < 0xFFFF else 4
+    return Ids(_Narrow(bpe, width), width, b"\xff" * width)
+
+
 def feistel(numbers: np.ndarray, total: int, key: int, rounds: int = 4) -> np.ndarray:
     """A keyed permutation of 0 .. total - 1, applied to ``numbers``.
 
@@ -67,41 +94,49 @@ def feistel(numbers: np.ndarray, total: int, key: int, rounds: int = 4) -> np.nd
     return out.astype(np.int64)
 
 
-def _pieces(ids: Ids, length: int, total: int, key: int, starts: dict[int, tuple[int, int]], per_shard: int):
-    """Arrow batches of texts to the pieces of their sequences."""
-    size = length * ids.width
-    schema = pa.schema([("shard", pa.int32()), ("slot", pa.int64()), ("at", pa.int32()), ("sequence", pa.int64()), ("data", pa.binary())])
+def _encoded(ids: Ids):
+    """Rows (key, tie, id, text) to (key, tie, n, ids); every document ends with the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, count = starts.get(TaskContext.get().partitionId(), (0, 0))
-        place, stop = base * ids.width, (base + count) * ids.width
-        held, first = [], place
-
-        def flush() -> pa.RecordBatch | None:
-            data = b"".join(held)
-            if not data:
-                return None
-            edges = [first, *range((first // size + 1) * size, first + len(data), size), first + len(data)]
-            begin = np.array(edges[:-1])
-            sequence = begin // size
-            slot = feistel(sequence, total, key)
-            parts = [data[a - first : b - first] for a, b in zip(edges, edges[1:], strict=False)]
-            columns = [slot // per_shard, slot, begin % size, sequence, parts]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        made = ids.value
+        for batch in batches:
+            data = [made.encode(value.as_py()) + made.end for value in batch.column(2)]
+            counts = pa.array([len(d) // made.width for d in data], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts, pa.array(data, pa.binary())], names=["key", "tie", "n", "ids"])
+
+    return run
 
+
+def _pieces(width: int, length: int, total: int, key: int, per_shard: int):
+    """Rows (start, ids) to the pieces of their sequences."""
+    size = length * width
+    schema = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("at", pa.int32()), ("sequence", pa.int64()), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for value in batch.column(0):
-                raw = ids.encode(value.as_py() or "") + ids.end
-                held.append(raw)
-                place += len(raw)
-                if place - first > 4_000_000:
-                    yield flush()
-                    held, first = [], place
-        last = flush()
-        if last is not None:
-            yield last
-        if place != stop:
-            raise RuntimeError("a partition changed between counting and writing")
+            begin, sequence, parts, held = [], [], [], 0
+
+            def ready() -> pa.RecordBatch:
+                numbers = np.array(sequence, np.int64)
+                slot = feistel(numbers, total, key)
+                columns = [slot // per_shard, slot, begin, numbers, parts]
+                return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+            for start, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data, at = value.as_py(), start * width
+                held += len(data)
+                stop, first = at + len(data), at
+                while at < stop:
+                    end = min(stop, (at // size + 1) * size)
+                    begin.append(at % size)
+                    sequence.append(at // size)
+                    parts.append(data[at - first : end - first])
+                    at = end
+                if held > 4_000_000:
+                    yield ready()
+                    begin, sequence, parts, held = [], [], [], 0
+            if parts:
+                yield ready()
 
     return run
 
@@ -113,7 +148,7 @@ def _open(path: str) -> tuple[pa.fs.FileSystem, str]:
 def _writer(root: str, width: int, length: int, total: int, per_shard: int, end: bytes):
     """Sorted pieces to shard files; returns one row a record."""
     size = length * width
-    schema = pa.schema([("slot", pa.int64()), ("sequence", pa.int64()), ("shard", pa.int32()), ("offset", pa.int64()), ("n_ids", pa.int32()), ("sha256", pa.string())])
+    schema = pa.schema([("slot", pa.int64()), ("sequence", pa.int64()), ("shard", pa.int64()), ("offset", pa.int64()), ("n_ids", pa.int32()), ("sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = _open(root)
@@ -165,62 +200,69 @@ def _writer(root: str, width: int, length: int, total: int, per_shard: int, end:
 def write_shards(
     df: DataFrame,
     root: str | None = None,
+    id_col: str = "doc_id",
     text_col: str = "text",
     ids: Ids | None = None,
     length: int = 2048,
-    per_shard: int = 8192,
+    per_shard: int = 4096,
     key: int = 20_26,
+    most_tasks: int = 20_000,
 ) -> DataFrame:
     """Writes all texts as shards; one row per sequence: slot, sequence, shard, offset, n_ids, sha256.
 
-    ``df`` must be a plain scan of files or of a written table: its partitions
-    are read twice, once to count ids and once to write, and must hold the same
-    rows both times (this is checked). A null text counts as empty and is just
-    an end id. The last sequence is filled up with end ids, which ``n_ids`` and
-    ``sha256`` leave out. An empty table writes nothing. A task that runs again
-    writes the same bytes under the same name; a finished shard is never seen
-    half written. ``root`` is a folder that all executors share.
+    ``ids`` says how texts become ids (``bpe_ids``; UTF-8 bytes by default).
+    Every text is encoded once, into a table of the shared folder. Documents
+    stand in the stream in the order of a hash of (id, text), rows equal in
+    both side by side, so the shards depend on the rows and ``key`` only. A null
+    text counts as empty and is just an end id; null and repeated ids are rows
+    like any other. The last sequence is filled up with end ids, which ``n_ids``
+    and ``sha256`` leave out. An empty table writes nothing. Other columns are
+    not read.
+
+    A task writes a range of consecutive shards, one shard where there are at
+    most ``most_tasks``. A task that runs again writes the same bytes under the
+    same name; a finished shard is never seen half written, and what lost tasks
+    left is removed. The shards are written by this call, once; the result is a
+    table of the shared folder. ``root`` is a folder that all executors share;
+    without it the shards go to ``spark.checkpoint.dir`` and vanish when the
+    application ends.
     """
     ids = ids or utf8_ids()
-    texts = df.select(F.col(text_col).alias("text"))
     spark = df.sparkSession
-    if ids.encode is str.encode:
-        sizes = F.octet_length(F.coalesce("text", F.lit("")))
-        counted = texts.groupBy(F.spark_partition_id().alias("part")).agg((F.sum(sizes) + F.count(F.lit(1))).alias("ids"))
-    else:
-        counted = texts.mapInArrow(_counter(ids), "part int, ids long").groupBy("part").agg(F.sum("ids").alias("ids"))
-    starts, stream = {}, 0
-    for row in sorted(counted.collect(), key=lambda r: r["part"]):  # one row per partition
-        starts[row["part"]] = (stream, row["ids"])
-        stream += row["ids"]
-    total = -(-stream // length)
+    shared = spark.sparkContext.broadcast(ids)  # its size is the vocabulary's
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    encoded = staged(
+        df.select(F.xxhash64(F.col(id_col), text).alias("key"), F.xxhash64(text, F.col(id_col)).alias("tie"), text.alias("text"))
+        .mapInArrow(_encoded(shared), "key long, tie long, n long, ids binary"),
+        "shard-ids",
+    )
+    found = encoded.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("ids")).first()
+    total = -(-found["ids"] // length)
+    buckets = hash_buckets(found["docs"], 2_000)
+    bucket = F.floor(F.shiftrightunsigned("key", 24) * (buckets / 2.0**40))
+    placed = running_total(encoded, [], [F.col("key") < 0, F.col("key"), F.col("tie")], bucket, "n", "start")
     folder = root or f"{shared_root(spark)}/quillgraph-shards-{uuid.uuid4().hex}"
+    if root is None:
+        remove_at_exit(spark, folder)
     store, path = _open(folder)
     store.create_dir(path)
     shards = max(1, -(-total // per_shard))
-    pieces = texts.mapInArrow(
-        _pieces(ids, length, max(1, total), key, starts, per_shard), "shard int, slot long, at int, sequence long, data binary"
-    )
-    return (
-        pieces.repartitionById(shards, F.col("shard"))
+    tasks = min(shards, most_tasks)
+    manifest = staged(
+        placed.select("start", "ids")
+        .mapInArrow(_pieces(ids.width, length, max(1, total), key, per_shard), "shard long, slot long, at int, sequence long, data binary")
+        .repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {shards} as int)"))
         .sortWithinPartitions("slot", "at")
         .mapInArrow(
             _writer(folder, ids.width, length, total, per_shard, ids.end),
-            "slot long, sequence long, shard int, offset long, n_ids int, sha256 string",
-        )
+            "slot long, sequence long, shard long, offset long, n_ids int, sha256 string",
+        ),
+        "shard-manifest",
     )
-
-
-def _counter(ids: Ids):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for value in batch.column(0):
-                n += (len(ids.encode(value.as_py() or "")) + len(ids.end)) // ids.width
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64())], names=["part", "ids"])
-
-    return run
+    for f in store.get_file_info(pa.fs.FileSelector(path)):
+        if os.path.basename(f.path).startswith(".shard-"):
+            store.delete_file(f.path)
+    return manifest
 
 
 def read_shards(folder: str, from_slot: int = 0) -> Iterator[tuple[int, np.ndarray]]:
