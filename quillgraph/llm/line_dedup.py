@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quillgraph.llm.common import staged
 
@@ -35,28 +36,22 @@ def pair_hashes(lines: list[bytes]) -> np.ndarray:
     return (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]).view(np.int64)
 
 
-def _tie(raw: bytes) -> int:
-    """Tells rows apart that share an id but not a text."""
-    return xxhash.xxh32_intdigest(raw) - (1 << 31)
-
-
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, text) to the hash of every pair of lines."""
+    """Rows (doc, tie, text) to the hash of every pair of lines."""
     for batch in batches:
         docs, ties, counts, hashes = [], [], [], []
-        for doc, value in zip(batch.column(0), batch.column(1), strict=True):
-            raw = value.as_py().encode()
-            lines = raw.split(b"\n")
+        for doc, tie, value in zip(*batch.columns, strict=True):
+            lines = value.as_py().encode().split(b"\n")
             if len(lines) < SPAN:
                 continue
             docs.append(doc.as_py())
-            ties.append(_tie(raw))
+            ties.append(tie.as_py())
             counts.append(len(lines) - SPAN + 1)
             hashes.append(pair_hashes(lines))
         if hashes:
             columns = [
                 np.repeat(np.array(docs, np.int64), counts),
-                np.repeat(np.array(ties, np.int32), counts),
+                np.repeat(np.array(ties, np.int64), counts),
                 np.concatenate([np.arange(n, dtype=np.int32) for n in counts]),
                 np.concatenate(hashes),
             ]
@@ -64,18 +59,19 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, text, flags) to the bytes of the flagged chunks."""
-    schema = pa.schema([("doc", pa.int64()), ("tie", pa.int32()), ("first", pa.int32()), ("hash", pa.int64()), ("leads", pa.bool_()), ("chunk", pa.binary())])
+    """Rows (doc, tie, text, flags) to the bytes of the flagged chunks."""
+    schema = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("first", pa.int32()), ("hash", pa.int64()), ("chunk", pa.binary())])
     for batch in batches:
         rows = []
-        for doc, value, flags in zip(*batch.columns, strict=True):
-            raw = value.as_py().encode()
-            tie, lines = _tie(raw), raw.split(b"\n")
+        for doc, tie, value, flags in zip(*batch.columns, strict=True):
+            lines = value.as_py().encode().split(b"\n")
             rows += [
-                {"doc": doc.as_py(), **f, "chunk": b"\n".join(lines[f["first"] : f["first"] + SPAN])}
+                {"doc": doc.as_py(), "tie": tie.as_py(), **f, "chunk": b"\n".join(lines[f["first"] : f["first"] + SPAN])}
                 for f in flags.as_py()
-                if f["tie"] == tie
             ]
+            if len(rows) > 20_000:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows = []
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -90,69 +86,74 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     occurrence (three equal lines in a row) is no repeat. An empty line is a
     line like any other. Removed lines go with their line ends; what is left is joined by line feeds, and a text may end up empty but
     its row stays. A null text stays null, with 0 lines. Rows that share id and
-    text share their fate; single lines, however frequent, stay. A pair that
-    shares its hash but not its bytes with the first occurrence stays. An empty
-    table gives no rows.
+    text share their fate, also where the id is null; single lines, however
+    frequent, stay. Pairs that share a hash are told apart by their bytes. An
+    empty table gives no rows.
     """
-    docs = df.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    )
-    chunks = docs.mapInArrow(_chunk_rows, "doc long, tie int, first int, hash long")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    chunks = docs.mapInArrow(_chunk_rows, "doc long, tie long, first int, hash long")
     repeated = staged(
-        chunks.groupBy("hash")
-        .agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "first", "tie")).alias("leader"))
-        .where("times > 1")
-        .select("hash", "leader"),
-        "line-repeated",
+        chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("hash"), "line-repeated"
     )
-    leads = F.struct("doc", "first", "tie") == F.col("leader")
-    overlaps = F.expr(f"doc = leader.doc AND tie = leader.tie AND first > leader.first AND first < leader.first + {SPAN}")
     flags = (
-        chunks.join(repeated, "hash")
-        .where(~overlaps)
-        .select("doc", F.struct("tie", "first", "hash", leads.alias("leads")).alias("flag"))
-        .groupBy("doc")
-        .agg(F.collect_set("flag").alias("flags"))
+        chunks.join(repeated, "hash", "left_semi").groupBy("doc", "tie").agg(F.collect_set(F.struct("first", "hash")).alias("flags"))
     )
     pieces = staged(
-        docs.join(flags, "doc")
-        .select("doc", "text", "flags")
-        .mapInArrow(_text_rows, "doc long, tie int, first int, hash long, leads boolean, chunk binary"),
+        docs.join(flags, ["doc", "tie"])
+        .select("doc", "tie", "text", "flags")
+        .mapInArrow(_text_rows, "doc long, tie long, first int, hash long, chunk binary"),
         "line-chunks",
     )
-    models = pieces.where("leads").groupBy("hash").agg(F.min("chunk").alias("model"))
+    # equal bytes, not only equal hashes: the first of them stays
+    leaders = staged(
+        pieces.groupBy("hash", "chunk").agg(F.min(F.struct("doc", "first", "tie")).alias("leader")).select("hash", "chunk", "leader"),
+        "line-leaders",
+    )
+    near = F.expr(f"doc = leader.doc AND tie = leader.tie AND first < leader.first + {SPAN}")
     cuts = (
-        pieces.where("NOT leads")
-        .join(staged(models, "line-models"), "hash")
-        .where("chunk = model")
-        .groupBy(F.col("doc").alias("__doc"))
-        .agg(F.collect_set(F.struct("tie", "first")).alias("__cuts"))
+        pieces.join(leaders, ["hash", "chunk"])
+        .where(~near)
+        .groupBy("doc", "tie")
+        .agg(F.collect_set("first").alias("cuts"))
+        .select(F.col("doc").alias("cut_doc"), F.col("tie").alias("cut_tie"), "cuts")
     )
     names = [c for c in df.columns if c not in (text_col, "n_lines", "n_removed")]
-    wide = df.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias("__text"))
-    joined = wide.join(cuts, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)) == F.col("__doc"), "left").drop("__doc")
+    # the row travels as one struct, so no column of the input can clash with a helper
+    wide = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row") if names else F.lit(None).cast("int").alias("row"),
+        F.col(text_col).alias("text"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"),
+        F.xxhash64(text).alias("tie"),
+    )
+    joined = wide.join(cuts, (F.col("doc") == F.col("cut_doc")) & (F.col("tie") == F.col("cut_tie")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, totals, removed = [], [], []
-            for value, cuts in zip(batch.column(len(names)), batch.column(len(names) + 1), strict=True):
+            for value, cuts in zip(batch.column(1), batch.column(2), strict=True):
                 text = value.as_py()
                 total = 0 if text is None else text.count("\n") + 1
                 gone = 0
                 if text is not None and cuts.is_valid:
-                    raw = text.encode()
-                    tie, lines = _tie(raw), raw.split(b"\n")
-                    drop = {i for c in cuts.as_py() if c["tie"] == tie for i in range(c["first"], c["first"] + SPAN)}
+                    lines = text.split("\n")
+                    drop = {i for first in cuts.as_py() for i in range(first, first + SPAN)}
                     gone = len(drop)
-                    text = b"\n".join(x for i, x in enumerate(lines) if i not in drop).decode() if drop else text
+                    text = "\n".join([x for i, x in enumerate(lines) if i not in drop])
                 texts.append(text)
                 totals.append(total)
                 removed.append(gone)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(names)], pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64())],
-                names=[*names, text_col, "n_lines", "n_removed"],
+                [batch.column(0), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64())],
+                names=["row", "text", "n_lines", "n_removed"],
             )
 
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
-    out = joined.mapInArrow(cut, f"{schema}, `{text_col}` string, n_lines long, n_removed long")
-    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    schema = StructType([
+        StructField("row", wide.schema["row"].dataType), StructField("text", StringType()),
+        StructField("n_lines", LongType()), StructField("n_removed", LongType()),
+    ])
+    out = joined.select("row", "text", "cuts").mapInArrow(cut, schema)
+    kept = [c for c in df.columns if c not in ("n_lines", "n_removed")]
+    return out.select(
+        *[(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in kept], "n_lines", "n_removed"
+    )

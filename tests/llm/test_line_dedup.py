@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from quillgraph.llm.line_dedup import line_chunks, line_dedup
 
 
@@ -87,3 +89,24 @@ def test_every_repeated_run_of_lines_goes(spark):
     kept = {x for d in range(len(texts) - 1) for x in got[d]["text"].split("\n")} - {""}
     assert kept == everywhere
     assert got[len(texts) - 1]["text"] == "same\nsame"
+
+
+def test_null_ids_are_rows_of_their_own(spark):
+    """Many null ids: each text has its own repeats; helpers' names may be columns."""
+    shared = "first common line\nsecond common line"
+    rows = [(None, f"own {i}\n{shared}\nend {i}") for i in range(30)] + [(5, shared), (None, shared), (None, None), (None, "")]
+    names = ["row", "text2", "cuts", "doc", "tie", "cut_doc", "__text", "__cuts", "a b.c", "n_removed"]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = df.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    got = line_dedup(df)
+    assert got.columns == ["doc_id", "text", *names[:-1], "n_lines", "n_removed"]
+    found = sorted((r["doc_id"] is None, r["text"] is None, r["text"] or "", r["n_removed"], r["a b.c"]) for r in got.collect())
+    want = [(False, False, shared, 0, 8), (True, False, "", 0, 8), (True, False, "", 2, 8), (True, True, "", 0, 8)]
+    want += [(True, False, f"own {i}\nend {i}", 2, 8) for i in range(30)]
+    assert found == sorted(want)
+
+
+def test_very_long_texts(spark):
+    lines = "\n".join(f"line {i} of a long text" for i in range(100_000))
+    got = line_dedup(spark.createDataFrame([(1, lines), (2, lines + "\nend")], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in got} == {1: (100_000, 0), 2: (100_001, 100_000)}
