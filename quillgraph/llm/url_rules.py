@@ -2,8 +2,9 @@
 
 Fixed (host, path) rules come first; the longest that fits decides. Elsewhere
 Spark's FP-growth mines combinations of URL tokens together with the label of
-the page. Combinations whose confidence and support pass the thresholds become
-rules, found again through an inverted index from each rule's rarest token.
+the page. Combinations whose support and class-balanced confidence pass the
+thresholds, and that say more than any part of them, become rules, found again
+through an inverted index from each rule's rarest token.
 Everything runs as DataFrame operations inside the JVM.
 """
 
@@ -35,21 +36,36 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def url_tokens(host: Column, path: Column) -> Column:
-    """Distinct tokens: each host suffix, the first host label, path segments and the file type.
+def url_query(url: Column) -> Column:
+    """What follows the first ``?`` after the host, up to ``#`` or the end."""
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*[^?#]*\?([^#]*)", 1)
 
-    Numbers inside segments become ``#``, so ids don't make tokens of their own.
+
+def url_tokens(host: Column, path: Column, query: Column) -> Column:
+    """Distinct tokens of a url, none without a host.
+
+    Host suffixes, words of the host's labels (cut at hyphens), path segments,
+    the file type and the names of query parameters. Numbers inside segments
+    become ``#``, so ids don't make tokens of their own.
     """
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))),
         lambda i: F.concat(F.lit("host="), F.concat_ws(".", F.slice(labels, i, F.greatest(F.size(labels), F.lit(1))))),
     )
+    words = F.transform(F.filter(F.split(host, r"[.-]"), lambda x: x != ""), lambda x: F.concat(F.lit("word="), x))
     segments = F.transform(
         F.filter(F.split(path, "/"), lambda x: x != ""),
         lambda x: F.concat(F.lit("path="), F.regexp_replace(x, "[0-9]+", "#")),
     )
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(suffixes, segments)))
+    kind = F.regexp_extract(path, r"\.([A-Za-z][A-Za-z0-9]*)$", 1)
+    kinds = F.when(kind == "", F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("type="), F.lower(kind))))
+    names = F.transform(
+        F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("query="), F.substring_index(x, "=", 1))
+    )
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(
+        F.array_distinct(F.concat(suffixes, words, segments, kinds, names))
+    )
 
 
 def fixed_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -63,41 +79,50 @@ def fixed_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
     return rule, verdict
 
 
-def mine_rules(
-    labelled: DataFrame,
-    min_support: float = 0.002,
-    min_confidence: float = 0.6,
-    least_pages: int = 20,
-    most_tokens: int = 3,
-) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.6) -> DataFrame:
     """Rules ``tokens, says, support, confidence`` from rows ``tokens, bad``.
 
-    A rule needs at least ``min_support`` of the labelled pages, ``least_pages``
-    of them at any size, and ``min_confidence`` among the pages that its tokens fit, and its confidence
-    must beat the label's own share. Of equal token sets the surer verdict stays.
+    Tokens and label must stand together on at least ``min_support`` of the
+    labelled pages. Confidence is balanced: the label's share among the pages that
+    the tokens fit, as if both labels were equally frequent at large; with bad
+    pages in the minority, plain confidence would hardly ever let a block rule
+    pass. A rule that is no surer than one with a token less is pruned. Of
+    equal token sets the surer verdict stays. Null tokens or labels teach
+    nothing.
     """
-    baskets = labelled.where(F.size("tokens") > 0).select(
+    known = labelled.where("size(tokens) > 0 AND bad IS NOT NULL")
+    totals = known.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("n_bad")
+    ).first()
+    n, n_bad = totals["n"], totals["n_bad"]
+    if not 0 < n_bad < n:
+        return known.select(
+            "tokens", F.lit("").alias("says"), F.lit(0.0).alias("support"), F.lit(0.0).alias("confidence")
+        ).limit(0)
+    baskets = known.select(
         F.concat("tokens", F.array(F.when(F.col("bad"), F.lit(BLOCK)).otherwise(F.lit(ALLOW)))).alias("items")
     )
-    n = baskets.count()
-    if not n:
-        return baskets.select(
-            F.col("items").alias("tokens"), F.lit("").alias("says"), F.lit(0.0).alias("support"), F.lit(0.0).alias("confidence")
-        ).limit(0)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, least_pages / n)), minConfidence=min_confidence).fit(baskets)
-    sets = model.freqItemsets.where(F.size("items") <= most_tokens + 1)
+    sets = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(baskets).freqItemsets
     label = F.when(F.array_contains("items", BLOCK), F.lit(BLOCK)).when(F.array_contains("items", ALLOW), F.lit(ALLOW))
     parts = sets.select(
         F.array_sort(F.array_remove(F.array_remove("items", BLOCK), ALLOW)).alias("tokens"), label.alias("label"), "freq"
-    )
+    ).where("size(tokens) > 0")
     alone = parts.where("label IS NULL").select("tokens", F.col("freq").alias("all"))
-    shares = parts.where("size(tokens) = 0").select("label", (F.col("freq") / n).alias("share"))
+    here, there = F.when(F.col("label") == BLOCK, F.lit(n_bad)).otherwise(F.lit(n - n_bad)), F.when(F.col("label") == BLOCK, F.lit(n - n_bad)).otherwise(F.lit(n_bad))
+    mine, others = F.col("freq") / here, (F.col("all") - F.col("freq")) / there
+    rated = parts.where("label IS NOT NULL").join(alone, "tokens").withColumn("confidence", mine / (mine + others))
+    shorter = rated.select(F.col("tokens").alias("part"), F.col("label").alias("of"), F.col("confidence").alias("part_confidence"))
+    beaten = (
+        rated.select("tokens", "label", "confidence", F.explode("tokens").alias("token"))
+        .select("tokens", "label", "confidence", F.array_remove("tokens", F.col("token")).alias("part"))
+        .join(shorter.withColumnRenamed("of", "label"), ["part", "label"])
+        .where("part_confidence >= confidence")
+        .select("tokens", "label")
+        .distinct()
+    )
     return (
-        parts.where("label IS NOT NULL AND size(tokens) > 0")
-        .join(alone, "tokens")
-        .join(shares, "label")
-        .withColumn("confidence", F.col("freq") / F.col("all"))
-        .where((F.col("confidence") >= min_confidence) & (F.col("confidence") > F.col("share")))
+        rated.where(F.col("confidence") >= min_confidence)
+        .join(beaten, ["tokens", "label"], "left_anti")
         .select(
             "tokens",
             F.when(F.col("label") == BLOCK, F.lit("block")).otherwise(F.lit("allow")).alias("says"),
@@ -140,23 +165,30 @@ def filter_urls(
     url_col: str = "url",
     label_id: str = "doc_id",
     good_col: str = "quality",
-    min_support: float = 0.002,
+    min_support: float = 0.005,
     min_confidence: float = 0.6,
 ) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, mined, confidence.
 
-    Pages are labelled through ``labels`` where ``good_col`` is 0 or 1; null
-    labels and null ids teach nothing. A null url or one without ``://`` has an
+    ``labels`` are joined by ``id_col`` = ``label_id``, that is, a page is taken
+    to be the page of the document of the same number; the tables have no other
+    key. A label is 0 (bad) or 1; others, null labels and null ids teach
+    nothing; of labels that repeat an id the least counts. A null url or one without ``://`` has an
     empty host and path, fits no rule and is allowed, as is every page that no
     rule fits. Repeated pages are judged alike. Without labels, or with an empty
     table, only the fixed rules speak.
     """
     parsed = pages.select(
-        F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path")
+        F.col(id_col).alias("id"),
+        url_host(F.col(url_col)).alias("host"),
+        url_path(F.col(url_col)).alias("path"),
+        url_query(F.col(url_col)).alias("query"),
     )
-    urls = parsed.withColumn("tokens", F.array_sort(url_tokens(F.col("host"), F.col("path"))))
-    known = labels.where(F.col(good_col).isNotNull()).select(
-        F.col(label_id).alias("label_of"), (F.col(good_col) == 0).alias("bad")
+    urls = parsed.withColumn("tokens", F.array_sort(url_tokens(F.col("host"), F.col("path"), F.col("query")))).drop("query")
+    known = (
+        labels.where(F.col(good_col).isin(0, 1))
+        .groupBy(F.col(label_id).alias("label_of"))
+        .agg((F.min(good_col) == 0).alias("bad"))
     )
     labelled = urls.join(known, F.col("id") == F.col("label_of")).select("tokens", "bad")
     found = match_rules(urls, mine_rules(labelled, min_support, min_confidence)).withColumnRenamed("tokens", "found_for")
