@@ -76,16 +76,24 @@ class PerfectHash:
 
 
 class _Memo(dict):
-    """Piece of text to its ids as bytes; emptied when it has ``most`` entries."""
+    """Piece of text to its ids as bytes, in two generations of half of ``most`` entries.
+
+    A full generation becomes the old one; what is still used is taken over
+    from there, the rest is forgotten with it.
+    """
 
     def __init__(self, make, most: int) -> None:
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most // 2, {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        ids = self[piece] = self.make(piece)
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        self[piece] = ids
         return ids
 
 

@@ -240,6 +240,12 @@ def histogram(values: np.ndarray, bins: int = 16) -> list[int]:
     return np.bincount(values.reshape(-1) // (256 // bins), minlength=bins).tolist()
 
 
+def colours(pixels: np.ndarray, bins: int = 16) -> list[int]:
+    """Red, green and blue histograms, one after another, of the opaque ones of RGBA pixels (n, 4)."""
+    opaque = pixels[pixels[:, 3] > 0, :3] // (256 // bins)
+    return np.bincount((opaque + np.array([0, bins, 2 * bins], np.uint8)).reshape(-1), minlength=3 * bins).tolist()
+
+
 # --- operators -------------------------------------------------------------
 
 _GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
@@ -253,9 +259,16 @@ def store_payload(payload: bytes) -> bytes:
     return write_gif(frames, ROW, len(cuts[0]))
 
 
+def rendered(media: bytes) -> Iterator[tuple[Frame, np.ndarray]]:
+    """Each frame of a GIF file and its RGBA rectangle of the canvas as shown."""
+    width, height, frames = read_gif(media)
+    for f, canvas in zip(frames, shown(width, height, frames), strict=True):
+        yield f, canvas[f.top : f.top + f.height, f.left : f.left + f.width]
+
+
 def read_payload(media: bytes) -> bytes:
-    """The bytes that ``store_payload`` kept."""
-    return b"".join(f.pixels.tobytes() for f in read_gif(media)[2])
+    """The bytes that ``store_payload`` kept, taken from the rendered frames: the grey of each pixel."""
+    return b"".join(area[..., 0].tobytes() for _, area in rendered(media))
 
 
 def padded(raw: bytes) -> bytes:
@@ -282,8 +295,8 @@ def gif_frames(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
             width, height, frames = read_gif(media)
             start = 0
             for n, (f, canvas) in enumerate(zip(frames, shown(width, height, frames), strict=True)):
-                opaque = canvas[canvas[..., 3] > 0]
-                yield (n, start, f.delay_ms, width, height, canvas.tobytes(), *(histogram(opaque[:, c]) for c in range(3)), None)
+                bins = colours(canvas.reshape(-1, 4))
+                yield (n, start, f.delay_ms, width, height, canvas.tobytes(), bins[:16], bins[16:32], bins[32:], None)
                 start += f.delay_ms
         except (ValueError, IndexError, struct.error) as error:
             yield (None, None, None, None, None, None, None, None, None, str(error))
@@ -305,12 +318,28 @@ def gif_frames(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
     return df.select(F.col(id_col), F.col(media_col)).mapInArrow(run, schema)
 
 
+def with_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, media``: every whole text stored as GIF. A null text counts as empty; ids are passed through."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):  # what is yielded at once is bounded by rows
+                part = batch.slice(i, 1000)
+                media = [store_payload(padded((value.as_py() or "").encode())) for value in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary())], names=[id_col, "media"])
+
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, media binary")
+
+
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stores every whole text as GIF, reads it back and describes both.
 
     One row per input row: id, n_bytes, payload_bytes, payload_sha256,
-    tail_crc32, media_bytes, media_sha256, feature (16 grey bins of the pixels
-    that were read back), frames. A null text counts as empty, which is stored
+    tail_crc32, media_bytes, media_sha256, feature (16 bins each of red, green
+    and blue over the opaque pixels of all rendered frames), frames. Frames are
+    rendered through palette, disposal and transparency; the payload is read
+    from what they show. A null text counts as empty, which is stored
     as one row of zeros. Ids are passed through, null or repeated; equal texts
     give equal values. An empty table gives no rows.
     """
@@ -321,12 +350,13 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def described(text: str) -> tuple:
         raw = text.encode()
         media = store_payload(padded(raw))
-        frames = read_gif(media)[2]
-        back = b"".join(f.pixels.tobytes() for f in frames)
-        bins = ",".join(map(str, histogram(np.frombuffer(back, np.uint8))))
+        areas = [area.reshape(-1, 4) for _, area in rendered(media)]
+        pixels = areas[0] if len(areas) == 1 else np.concatenate(areas)
+        back = pixels[:, 0].tobytes()
+        bins = ",".join(map(str, colours(pixels)))
         return (
             len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]),
-            len(media), hashlib.sha256(media).hexdigest(), bins, len(frames),
+            len(media), hashlib.sha256(media).hexdigest(), bins, len(areas),
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -68,7 +68,7 @@ def source_targets(
 def token_streams(docs: DataFrame, seed: int) -> DataFrame:
     """Adds each row's ``start`` in its source's shuffled token stream."""
     key = F.xxhash64(F.lit(seed), F.col("id"))
-    buckets = hash_buckets(docs.count())
+    buckets = hash_buckets(docs.count(), 2_000)
     return running_total(
         docs.withColumn("__key", key),
         ["source"],
@@ -90,23 +90,23 @@ def schedule(spark: SparkSession, targets: DataFrame, block: int, slots: int, ch
     upper = targets.where("target > 0").select("source", F.sum("target").over(by_name).alias("upper"))
     total = F.max("upper").over(Window.partitionBy())
     lower = F.lag("upper", 1, 0.0).over(Window.orderBy(F.col("source").asc_nulls_last()))
-    shares = upper.select("source", (lower / total).alias("low"), (F.col("upper") / total).alias("high"))
-    bounds = shares.agg(
-        F.array_sort(F.collect_list(F.struct("high", "low", "source"))).alias("edges")
-    ).first()["edges"]  # one row per source
+    shares = staged(upper.select("source", (lower / total).alias("low"), (F.col("upper") / total).alias("high")), "mix-shares")
+    # a slot falls into one cell of a grid; the cell's few shares are looked up by an equi-join
+    n_shares = max(1, shares.count())
+    cells = shares.select(
+        "source", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * n_shares), F.floor(F.col("high") * n_shares))).alias("cell")
+    )
     point = F.expr(f"pmod((id + 1) * {GOLDEN!r}D, 1D)")
-    highs = F.array(*[F.lit(float(e["high"])) for e in bounds])
-    names = F.array(*[F.lit(e["source"]).cast("string") for e in bounds])
-    # the number of shares that end at or before the point is the source's place
-    place = F.least(F.size(F.filter(highs, lambda h: h <= F.col("point"))), F.lit(len(bounds) - 1))
     dealt = (
         spark.range(0, slots)
-        .withColumn("point", point)
-        .select(F.col("id").alias("slot"), F.expr(f"id div {chunk}").alias("chunk"), place.alias("place"))
-        .withColumn("source", F.element_at(names, F.col("place") + 1))
-        .withColumn("one", F.lit(1))
+        .select(F.col("id").alias("slot"), F.expr(f"id div {chunk}").alias("chunk"), point.alias("point"), F.lit(1).alias("one"))
+        .withColumn("cell", F.floor(F.col("point") * n_shares))
+        .join(cells, "cell")
+        # the last share has no upper end, whatever rounding made of it
+        .where("low <= point AND (point < high OR high >= 1)")
+        .select("slot", "chunk", "source", "one")
     )
-    return running_total(dealt, ["place"], [F.col("slot")], F.col("chunk"), "one", "rank").select(
+    return running_total(dealt, ["source"], [F.col("slot")], F.col("chunk"), "one", "rank").select(
         "slot", "source", "rank"
     )
 
@@ -243,13 +243,26 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         )
     )
     text = F.coalesce(F.col(text_col), F.lit(""))
+    # the row travels as one struct, so no column of the input can clash with a helper
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
+        F.col(id_col).alias("id"),
+        F.col(source_col).cast("string").alias("source"),
+        F.xxhash64(text).alias("tie"),
+        F.col(text_col).alias("text"),
+    )
     same = (
-        (F.xxhash64(text) == F.col("__tie"))
-        & F.col(id_col).eqNullSafe(F.col("__id"))
-        & F.col(source_col).cast("string").eqNullSafe(F.col("__source"))
+        (F.col("tie") == F.col("__tie"))
+        & F.col("id").eqNullSafe(F.col("__id"))
+        & F.col("source").eqNullSafe(F.col("__source"))
     )
     copies = F.expr("sequence(1, cast(ceil(__taken / __size) as int))")
-    part = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
-    words = F.regexp_extract_all(F.col(text_col), F.lit(f"([{chr(9)}-{chr(13)} ]*{WORD})"), F.lit(1))
-    cut = F.when(part >= F.col("__size"), F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), part.cast("int")), ""))
-    return df.join(shares, same).withColumn("__copy", F.explode(copies)).withColumn(text_col, cut).select(*[F.col(f"`{c}`") for c in df.columns])
+    part = F.col("__taken") - (F.col("copy") - 1) * F.col("__size")
+    words = F.regexp_extract_all(F.col("text"), F.lit(f"([{chr(9)}-{chr(13)} ]*{WORD})"), F.lit(1))
+    cut = F.when(part >= F.col("__size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), part.cast("int")), ""))
+    return (
+        rows.join(shares, same)
+        .withColumn("copy", F.explode(copies))
+        .withColumn("text", cut)
+        .select(*[(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in df.columns])
+    )

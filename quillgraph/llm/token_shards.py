@@ -3,11 +3,10 @@
 The token ids of all documents form one stream, each document closed by an end
 id, cut into sequences of equal length. A keyed Feistel network with
 cycle-walking permutes the sequence numbers, which gives every sequence its
-slot in training order without sorting or storing a permutation. Documents are
-numbered by a key of their id and text, so the stream doesn't depend on how the
-input is split. Each task writes the shards of its slot range; a record's place
-in its file is its slot times the stride, so reading is sequential and resumes
-anywhere.
+slot in training order without sorting or storing a permutation. Documents
+stand in the stream in the order of their files, however the input is split.
+Each task writes the shards of its slot range; a record's place in its file is
+its slot times the stride, so reading is sequential and resumes anywhere.
 """
 
 from __future__ import annotations
@@ -22,12 +21,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, cloudpickle
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.byte_bpe import ByteBpe
-from quillgraph.llm.common import hash_buckets, remove_at_exit, running_total, shared_root, staged
+from quillgraph.llm.common import remove_at_exit, shared_root, staged
 from quillgraph.llm.hashing import mix
 
 MAGIC = b"QGSHARD1"
@@ -94,15 +94,45 @@ def feistel(numbers: np.ndarray, total: int, key: int, rounds: int = 4) -> np.nd
     return out.astype(np.int64)
 
 
-def _encoded(ids: Ids):
-    """Rows (key, tie, id, text) to (key, tie, n, ids); every document ends with the end id."""
+def _numbered(df: DataFrame) -> DataFrame:
+    """Rows (file, row, text) in an order that doesn't depend on how the input is split.
+
+    A scan of Parquet files has it: the row's number in its file. Any other
+    frame (columns ``id``, ``text``) is written sorted by a hash of its rows.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), "text"]
+    try:
+        return df.select(*place)
+    except AnalysisException:
+        key = [F.xxhash64("id", "text"), F.xxhash64("text", "id")]
+        return staged(df.orderBy(*key), "shard-texts").select(*place)
+
+
+def _encoded(ids: Broadcast):
+    """Rows (file, row, text) to (file, since, start, n, ids); every document ends with the end id.
+
+    A segment is a run of consecutive rows of a file in one task, named by its
+    first row; ``start`` counts the ids before a document in its segment.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = ids.value
+        file = since = following = place = None
         for batch in batches:
-            data = [made.encode(value.as_py()) + made.end for value in batch.column(2)]
-            counts = pa.array([len(d) // made.width for d in data], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts, pa.array(data, pa.binary())], names=["key", "tie", "n", "ids"])
+            files, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            segments, starts, counts, data = [], [], [], []
+            for name, row, value in zip(files, rows, batch.column(2), strict=True):
+                if name != file or row != following:
+                    file, since, place = name, row, 0
+                raw = made.encode(value.as_py()) + made.end
+                n = len(raw) // made.width
+                segments.append(since)
+                starts.append(place)
+                counts.append(n)
+                data.append(raw)
+                place, following = place + n, row + 1
+            columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in (segments, starts, counts)), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["file", "since", "start", "n", "ids"])
 
     return run
 
@@ -207,14 +237,16 @@ def write_shards(
     per_shard: int = 4096,
     key: int = 20_26,
     most_tasks: int = 20_000,
+    most_sent: int = 200_000,
 ) -> DataFrame:
     """Writes all texts as shards; one row per sequence: slot, sequence, shard, offset, n_ids, sha256.
 
     ``ids`` says how texts become ids (``bpe_ids``; UTF-8 bytes by default).
     Every text is encoded once, into a table of the shared folder. Documents
-    stand in the stream in the order of a hash of (id, text), rows equal in
-    both side by side, so the shards depend on the rows and ``key`` only. A null
-    text counts as empty and is just an end id; null and repeated ids are rows
+    stand in the stream as they stand in their Parquet files, files by name;
+    a frame that is no scan of files is sorted by a hash of (id, text) first.
+    So the shards depend on the rows and ``key`` only, not on the splits. A
+    null text counts as empty and is just an end id; null and repeated ids are rows
     like any other. The last sequence is filled up with end ids, which ``n_ids``
     and ``sha256`` leave out. An empty table writes nothing. Other columns are
     not read.
@@ -230,17 +262,22 @@ def write_shards(
     ids = ids or utf8_ids()
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(ids)  # its size is the vocabulary's
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    encoded = staged(
-        df.select(F.xxhash64(F.col(id_col), text).alias("key"), F.xxhash64(text, F.col(id_col)).alias("tie"), text.alias("text"))
-        .mapInArrow(_encoded(shared), "key long, tie long, n long, ids binary"),
-        "shard-ids",
+    texts = df.withColumns({"id": F.col(id_col), "text": F.coalesce(F.col(text_col), F.lit(""))}).select("id", "text")
+    encoded = staged(_numbered(texts).mapInArrow(_encoded(shared), "file string, since long, start long, n long, ids binary"), "shard-ids")
+    # one row per segment, that is, per file and split of the input
+    before = Window.orderBy("file", "since").rowsBetween(Window.unboundedPreceding, -1)
+    bases = staged(
+        encoded.groupBy("file", "since")
+        .agg(F.sum("n").alias("ids"))
+        .select("file", "since", "ids", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base")),
+        "shard-bases",
     )
-    found = encoded.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("ids")).first()
+    found = bases.agg(F.count(F.lit(1)).alias("segments"), F.coalesce(F.sum("ids"), F.lit(0)).alias("ids")).first()
     total = -(-found["ids"] // length)
-    buckets = hash_buckets(found["docs"], 2_000)
-    bucket = F.floor(F.shiftrightunsigned("key", 24) * (buckets / 2.0**40))
-    placed = running_total(encoded, [], [F.col("key") < 0, F.col("key"), F.col("tie")], bucket, "n", "start")
+    bases = bases.drop("ids")
+    if found["segments"] <= most_sent:
+        bases = F.broadcast(bases)
+    placed = encoded.join(bases, ["file", "since"]).withColumn("start", F.col("start") + F.col("base"))
     folder = root or f"{shared_root(spark)}/quillgraph-shards-{uuid.uuid4().hex}"
     if root is None:
         remove_at_exit(spark, folder)

@@ -79,7 +79,7 @@ def fixed_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
     return rule, verdict
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.6) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = 0.02, min_confidence: float = 0.7) -> DataFrame:
     """Rules ``tokens, says, support, confidence`` from rows ``tokens, bad``.
 
     Tokens and label must stand together on at least ``min_support`` of the
@@ -165,8 +165,8 @@ def filter_urls(
     url_col: str = "url",
     label_id: str = "doc_id",
     good_col: str = "quality",
-    min_support: float = 0.005,
-    min_confidence: float = 0.6,
+    min_support: float = 0.02,
+    min_confidence: float = 0.7,
 ) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, mined, confidence.
 

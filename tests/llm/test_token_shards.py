@@ -67,10 +67,25 @@ def test_the_split_of_the_input_and_another_run_change_nothing(docs, tmp_path):
     before = files(folder)
     write_shards(docs.coalesce(1), str(folder), length=256, per_shard=20)
     assert files(folder) == {k: v for k, v in before.items() if not k.startswith(".")}
-    few = write_shards(docs, str(other), length=256, per_shard=20, most_tasks=2)
+    few = write_shards(docs, str(other), length=256, per_shard=20, most_tasks=2, most_sent=0)
     assert files(other) == files(folder) and few.select("shard").distinct().count() > 2
 
 
+def test_files_give_one_order_at_any_split_size(spark, docs, tmp_path):
+    """Small splits cut files into many segments; the shards stay the same."""
+    docs.repartition(3).write.option("parquet.block.size", 4096).parquet(str(tmp_path / "docs"))
+    made = {}
+    for name, size in (("one", "128m"), ("many", "4k")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            df = spark.read.parquet(str(tmp_path / "docs"))
+            made[name] = df.rdd.getNumPartitions()
+            write_shards(df, str(tmp_path / name), ids=tokens(), length=256, per_shard=20)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert made["many"] > made["one"] and files(tmp_path / "many") == files(tmp_path / "one")
+
+
 def test_edge_cases(spark, no_docs, tmp_path):
     assert write_shards(no_docs, str(tmp_path / "none")).count() == 0
     assert list(read_shards(str(tmp_path / "none"))) == []
