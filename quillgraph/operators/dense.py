@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,33 +36,47 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top_k(dense_scores(vectors, queries), k, item="vec_id")
 
 
-def dense_top_k_blocked(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
-    """As ``dense_top_k`` with one matrix product per Arrow batch, for many queries.
+def dense_top_k_blocked(vectors: DataFrame, queries: DataFrame, k: int, chunk_rows: int = 65_536, block_rows: int = 4_096) -> DataFrame:
+    """As ``dense_top_k`` for many queries (``query_id, query_vector``): blocks of queries meet chunks of vectors.
 
-    Each batch gives at most ``k`` candidates a query; the last step ranks them.
+    Both sides are dealt by a hash of the id into groups of about ``chunk_rows``
+    and ``block_rows``. Every chunk meets every block in a task of its own, as
+    one matrix product, which leaves at most ``k`` candidates a query; the last
+    step ranks them. Nothing is collected but two counts, and no task holds
+    more than a chunk, a block and a strip of their product. Null vectors match
+    nothing.
     """
-    ids = np.array([q for q, _ in queries])
-    matrix = np.array([v for _, v in queries], np.float64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vec_ids = batch.column(0).to_numpy()
-            data = np.array(batch.column(1).to_pylist(), np.float64)
-            if not len(data):
-                continue
-            scores = matrix @ data.T
-            order = np.lexsort((np.broadcast_to(vec_ids, scores.shape), -scores.round(9)), axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(ids, order.shape[1])),
-                    pa.array(vec_ids[order].ravel()),
-                    pa.array(np.take_along_axis(scores, order, 1).ravel()),
-                ],
-                names=["query_id", "vec_id", "score"],
+    vectors = vectors.where("embedding IS NOT NULL").select("vec_id", "embedding")
+    queries = queries.where("query_vector IS NOT NULL").select("query_id", "query_vector")
+    chunks, blocks = -(-vectors.count() // chunk_rows) or 1, -(-queries.count() // block_rows) or 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int")).withColumn("block", every(blocks))
+    right = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("chunk", every(chunks))
+
+    def meet(found: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        if found.empty or wanted.empty:
+            return out
+        ids, data = found["vec_id"].to_numpy(), np.stack(found["embedding"].to_numpy()).astype(np.float64)
+        parts = []
+        for i in range(0, len(wanted), 256):  # a strip of the product at a time
+            strip = wanted.iloc[i : i + 256]
+            scores = np.stack(strip["query_vector"].to_numpy()).astype(np.float64) @ data.T
+            order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores.round(9)), axis=1)[:, :k]
+            parts.append(
+                pd.DataFrame(
+                    {
+                        "query_id": np.repeat(strip["query_id"].to_numpy(), order.shape[1]),
+                        "vec_id": ids[order].ravel(),
+                        "score": np.take_along_axis(scores, order, 1).ravel(),
+                    }
+                )
             )
+        return pd.concat(parts)
 
-    found = vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
-    return top_k(found, k, item="vec_id")
+    kinds = [f"query_id {queries.schema['query_id'].dataType.simpleString()}", f"vec_id {vectors.schema['vec_id'].dataType.simpleString()}"]
+    met = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(meet, ", ".join([*kinds, "score double"]))
+    return top_k(met, k, item="vec_id")
 
 
 def dedupe_ranking(hits: DataFrame, item: str, limit: int | None = None) -> DataFrame:

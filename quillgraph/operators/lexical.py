@@ -8,32 +8,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import tokenize
+from quillgraph.scratch import spread, staged
 
 K1, B = 1.2, 0.75
 
 
 @dataclass
 class Bm25Index:
-    """Postings ``doc, term, tf, len``, document frequencies ``term, df`` and totals ``n, avg_len``."""
+    """Term occurrences ``doc, len, term``, postings with ``tf``, frequencies ``term, df`` and totals ``n, avg_len``."""
 
+    terms: DataFrame
     postings: DataFrame
     frequencies: DataFrame
     totals: DataFrame
 
 
 def build_index(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_chars: int | None = None) -> Bm25Index:
-    """The index of a corpus; ``max_chars`` cuts texts as one of the two known variants does."""
+    """The index of a corpus; ``max_chars`` cuts texts as one of the two known variants does.
+
+    Texts are tokenised once, into a table of the shared folder that postings,
+    lengths and totals are read from.
+    """
     text = F.left(F.col(text_col), F.lit(max_chars)) if max_chars else F.col(text_col)
-    tokens = chunks.select(F.col(id_col).alias("doc"), tokenize(text).alias("tokens"))
+    tokens = staged(spread(chunks.select(F.col(id_col).alias("doc"), text.alias("text"))).select("doc", tokenize("text").alias("tokens")), "bm25-tokens")
     sized = tokens.withColumn("len", F.size("tokens"))
-    postings = (
-        sized.select("doc", "len", F.explode("tokens").alias("term"))
-        .groupBy("doc", "len", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    terms = sized.select("doc", "len", F.explode("tokens").alias("term"))
+    postings = terms.groupBy("doc", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     totals = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    return Bm25Index(postings, frequencies, totals)
+    return Bm25Index(terms, postings, frequencies, totals)
 
 
 def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
@@ -48,11 +51,14 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "q
 def bm25_scores(index: Bm25Index, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """``query_id, doc, score`` for every document that shares a term with the query.
 
-    Postings are cut to the query terms before anything is counted, so the
-    corpus is scanned once and only hits are shuffled.
+    Occurrences are cut to the query terms before anything is counted, so only
+    hits are shuffled; the postings that are left are staged, as their document
+    frequencies and their scores both read them.
     """
     wanted = terms.select("term").distinct()
-    hits = index.postings.join(wanted, "term", "left_semi")
+    hits = staged(
+        index.terms.join(wanted, "term", "left_semi").groupBy("doc", "len", "term").agg(F.count(F.lit(1)).alias("tf")), "bm25-hits"
+    )
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = terms.join(df, "term").crossJoin(F.broadcast(index.totals))  # totals are one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

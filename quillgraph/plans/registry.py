@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillgraph.scratch import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,6 +26,11 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return keep
 
 
+#: tables of long rows, on which queries work hard row by row
+LONG_ROWS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the driver's tables; those of long rows over all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in LONG_ROWS else df

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text
 from quillgraph.operators import dense, fusion, lexical, metrics, stats
 from quillgraph.plans.registry import query, table
-from quillgraph.plans.text_queries import TOKENS
+from quillgraph.plans.text_queries import TOKENS, _any
+from quillgraph.scratch import staged
 
 _T = TOKENS.format("text")
 
@@ -34,7 +35,13 @@ def _bm25_sql(name: str, source: str, limit: int) -> str:
         WHERE rank <= {limit})"""
 
 
-_FULL, _HEAD = _bm25_sql("full_text", "text", 60), _bm25_sql("head_text", "left(text, 2000)", 60)
+_FULL = _bm25_sql("full_text", "text", 60)
+_DENSE = """
+    vector_hits AS (
+        SELECT query_id, item, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item) AS rank
+        FROM (SELECT q.vec_id AS query_id, v.vec_id AS item, list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
+              FROM embeddings v, embeddings q JOIN benchmark ON item_id = q.vec_id)
+        QUALIFY rank <= 60)"""
 
 
 def _bm25(spark, sf_dir, limit=60, max_chars=None):
@@ -43,15 +50,50 @@ def _bm25(spark, sf_dir, limit=60, max_chars=None):
     return ranked.select("query_id", F.col("doc").alias("item"), "score", "rank")
 
 
+def _dense(spark, sf_dir, limit=60):
+    """The nearest vectors of every item; an item and a document have the vector of their own number."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
+    queries = vectors.join(items, "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    ranked = dense.dense_top_k_blocked(vectors, queries, limit)
+    return ranked.select("query_id", F.col("vec_id").alias("item"), "score", "rank")
+
+
+KEY_WORDS = 8
+
+
 def _gold(spark, sf_dir):
-    """Documents that hold a whole item. The first 8 words of an item find candidates by an equi join."""
+    """Documents that hold a whole item, as a substring.
+
+    An item's words but the first and the last stand in such a document as
+    whole words, so the first eight of those, hashed, find the candidates by an
+    equi join with the runs of words of the documents; the candidates are then
+    compared with the whole item. Items of fewer words have shorter keys.
+    """
+    space = r"[\s\p{Z}]+"
     items = table(spark, sf_dir, "benchmark").where(F.length("text") > 0).select(F.col("item_id").alias("query_id"), F.col("text").alias("item_text"))
+    words = F.split("item_text", space)
+    keyed = items.withColumn("n", F.greatest(F.lit(0), F.least(F.lit(KEY_WORDS), F.size(words) - 2))).withColumn(
+        "key", F.when(F.col("n") > 0, F.xxhash64(F.array_join(F.slice(words, F.lit(2), F.greatest(F.lit(1), "n")), " ")))
+    )
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text")
-    # the benchmark is a fixed small list: one scan of the documents against it
-    return docs.join(F.broadcast(items), F.contains("text", "item_text")).select("query_id", "item")
+    split = docs.where("text IS NOT NULL").select("item", F.split("text", space).alias("words"))
+    wanted = staged(keyed, "gold-items")
+    sizes = [r["n"] for r in wanted.select("n").distinct().collect()]  # nine values at most
+    candidates = wanted.where("n = 0").select("query_id").crossJoin(docs.select("item").distinct()) if 0 in sizes else None
+    for n in sorted(s for s in sizes if s):
+        runs = split.where(F.size("words") >= n).select(
+            "item", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("words", i, n), " ")))).alias("key")  # noqa: B023
+        )
+        hits = runs.join(wanted.where(F.col("n") == n).select("query_id", "key"), "key").select("query_id", "item").distinct()
+        candidates = hits if candidates is None else candidates.unionByName(hits)
+    if candidates is None:
+        return items.crossJoin(docs).where("false").select("query_id", "item")
+    found = candidates.join(items, "query_id").join(docs, "item")
+    return found.where(F.contains("text", "item_text")).select("query_id", "item").distinct()
 
 
-_GOLD = "gold AS (SELECT item_id AS query_id, doc_id AS item FROM benchmark b JOIN documents d ON length(b.text) > 0 AND contains(d.text, b.text))"
+_GOLD = "gold AS (SELECT DISTINCT item_id AS query_id, doc_id AS item FROM benchmark b JOIN documents d ON length(b.text) > 0 AND contains(d.text, b.text))"
 
 
 def bm25_top10(spark, sf_dir):
@@ -125,14 +167,15 @@ def metrics_by_slice(spark, sf_dir):
 
 
 def _two_lists(spark, sf_dir):
+    """The lexical route over whole texts and the vector route."""
     full = _bm25(spark, sf_dir).select("query_id", "item", "score", "rank", F.lit("bottom_up").alias("route"), F.lit(0).alias("list"), F.lit(1.0).alias("weight"))
-    head = _bm25(spark, sf_dir, max_chars=2000).select("query_id", "item", "score", "rank", F.lit("top_down").alias("route"), F.lit(1).alias("list"), F.lit(0.85).alias("weight"))
-    return full.unionByName(head)
+    near = _dense(spark, sf_dir).select("query_id", "item", "score", "rank", F.lit("top_down").alias("route"), F.lit(1).alias("list"), F.lit(0.85).alias("weight"))
+    return staged(full.unionByName(near), "two-lists")
 
 
-_LISTS = f"""{_FULL}, {_HEAD},
+_LISTS = f"""{_FULL}, {_DENSE},
     lists AS (SELECT query_id, item, score, rank, 'bottom_up' AS route, 0 AS list, 1.0::DOUBLE AS weight FROM full_text
-              UNION ALL SELECT query_id, item, score, rank, 'top_down', 1, 0.85::DOUBLE FROM head_text)"""
+              UNION ALL SELECT query_id, item, score, rank, 'top_down', 1, 0.85::DOUBLE FROM vector_hits)"""
 
 
 @query(
@@ -140,7 +183,7 @@ _LISTS = f"""{_FULL}, {_HEAD},
     SELECT query_id, item, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first, item) AS rank FROM f"""
 )
 def rrf_text(spark, sf_dir):
-    """12.17: reciprocal-rank fusion of two BM25 variants, ties by best rank."""
+    """12.17: reciprocal-rank fusion of the lexical and the vector route, ties by best rank."""
     fused = fusion.rrf(_two_lists(spark, sf_dir))
     return fused.select("query_id", "item", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -191,43 +234,68 @@ def two_stage(spark, sf_dir):
     return found.select("query_id", "item", F.col("rank").cast("long").alias("rank"))
 
 
+_ROUTES = f"""routes AS (
+    SELECT item_id AS query_id, CASE WHEN {_any("text", text.TABLE_TERMS)} THEN 'table' WHEN {_any("text", text.HIERARCHY_TERMS)} THEN 'hierarchy'
+           WHEN item_id % 4 = 0 THEN 'lexical' ELSE 'semantic' END AS text_route FROM benchmark)"""
+
+
+def _routes(spark, sf_dir):
+    """Text routes of the items; every fourth counts as naming a document, for want of names in the items."""
+    return table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), text.route("text", F.col("item_id") % 4 == 0).alias("text_route")
+    )
+
+
+def _features(lists, docs):
+    """What the reranker knows of a candidate: its source is the first hit's, it holds a number, its place among the source's hits."""
+    known = lists.select("query_id", "item", "list", "rank").join(docs, "item")
+    first = known.groupBy("query_id").agg(F.min_by("source", F.struct("list", "rank")).alias("first_source"))
+    best = known.groupBy("query_id", "item", "source", "is_table").agg(F.min("rank").alias("best"))
+    place = F.row_number().over(Window.partitionBy("query_id", "source").orderBy("best", "item"))
+    return best.join(first, "query_id").select(
+        "query_id", "item", (F.col("source") == F.col("first_source")).alias("explicit_document"), "is_table", place.alias("selected_rank")
+    )
+
+
 @query(
-    f"""WITH {_LISTS}, c AS (
-        SELECT query_id, item, max(CASE WHEN list = 0 THEN rank END) AS b, max(CASE WHEN list = 1 THEN rank END) AS d FROM lists WHERE rank <= 30 GROUP BY ALL)
-    SELECT query_id, item, round(s, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, b NULLS LAST, d NULLS LAST, item) AS rank
-    FROM (SELECT *, coalesce(1.0 / (60 + b), 0) + coalesce(1.0 / (60 + d), 0) AS s FROM c)"""
+    f"""WITH {_LISTS}, {_ROUTES}, k AS (SELECT query_id, item, list, rank, source, regexp_matches(text, '[0-9]{{4}}') AS is_table FROM lists JOIN documents ON doc_id = item),
+    first AS (SELECT query_id, arg_min(source, {{'list': list, 'rank': rank}}) AS source FROM k GROUP BY query_id),
+    best AS (SELECT query_id, item, source, is_table, min(rank) AS best FROM k GROUP BY ALL),
+    feat AS (SELECT b.query_id, item, b.source = f.source AS explicit, is_table, row_number() OVER (PARTITION BY b.query_id, b.source ORDER BY best, item) AS place FROM best b JOIN first f USING (query_id)),
+    c AS (SELECT query_id, item, max(CASE WHEN list = 0 THEN rank END) AS b, max(CASE WHEN list = 1 THEN rank END) AS d FROM lists WHERE rank <= 30 GROUP BY ALL),
+    s AS (SELECT c.*, text_route, CASE WHEN text_route = 'lexical' THEN 1.2 ELSE 1.0 END * coalesce(1.0 / (60 + b), 0) + CASE WHEN text_route = 'semantic' THEN 1.1 ELSE 1.0 END * coalesce(1.0 / (60 + d), 0)
+            + 0.5 * coalesce(explicit::INT, 0) / 61.0 + CASE WHEN text_route = 'table' THEN 0.4 * coalesce(is_table::INT, 0) / 61.0 ELSE 0 END
+            + CASE WHEN text_route = 'hierarchy' THEN 0.3 * coalesce(1.0 / (60 + place), 0) ELSE 0 END AS s
+          FROM c LEFT JOIN routes USING (query_id) LEFT JOIN feat USING (query_id, item))
+    SELECT query_id, item, round(s, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN text_route = 'lexical' AND b = 1 THEN 1 ELSE 0 END DESC, round(s, 12) DESC, b NULLS LAST, d NULLS LAST, item) AS rank FROM s"""
 )
 def global_rerank(spark, sf_dir):
-    """12.24: the routed reranker with its default weights."""
+    """12.24: the routed reranker with document, table and hierarchy terms; lexical queries keep their best BM25 row on top."""
     lists = _two_lists(spark, sf_dir)
-    items = table(spark, sf_dir, "benchmark")
-    routes = items.select(F.col("item_id").alias("query_id"), text.route("text").alias("text_route"))
-    features = items.select(F.col("item_id").alias("query_id")).where("false").select(
-        "query_id", F.lit(0).cast("long").alias("item"), F.lit(True).alias("explicit_document"), F.lit(True).alias("is_table"), F.lit(1).alias("selected_rank")
-    )
-    ranked = fusion.routed_rerank(lists.where("list = 0"), lists.where("list = 1"), routes, features)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "source", F.col("text").rlike("[0-9]{4}").alias("is_table"))
+    weights = fusion.RerankWeights(lexical=1.2, semantic=1.1, document=0.5, table=0.4, hierarchy=0.3)
+    ranked = fusion.routed_rerank(lists.where("list = 0"), lists.where("list = 1"), _routes(spark, sf_dir), _features(lists, docs), weights)
     return ranked.select("query_id", "item", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(
-    f"""WITH {_LISTS}, t AS (SELECT doc_id AS item FROM documents WHERE contains(text, ' | ')),
+    f"""WITH {_LISTS}, {_ROUTES}, t AS (SELECT doc_id AS item FROM documents WHERE regexp_matches(text, '[0-9]{{4}}')),
     pool AS (SELECT DISTINCT query_id, item FROM lists WHERE rank <= 5),
-    g AS (SELECT query_id, count(t.item) >= 2 AS enabled FROM pool LEFT JOIN t USING (item) GROUP BY query_id),
+    n AS (SELECT query_id, count(t.item) AS support FROM pool LEFT JOIN t USING (item) GROUP BY query_id),
+    g AS (SELECT query_id, text_route = 'table' OR coalesce(support, 0) >= 2 AS enabled,
+                 CASE WHEN text_route = 'table' THEN 'explicit_table_intent' WHEN coalesce(support, 0) >= 2 THEN 'candidate_table_support' ELSE 'insufficient_table_support' END AS reason
+          FROM routes LEFT JOIN n USING (query_id)),
     c AS (SELECT query_id, item, max(CASE WHEN list = 0 THEN rank END) AS b, max(CASE WHEN list = 1 THEN rank END) AS d FROM lists WHERE rank <= 30 GROUP BY ALL),
     s AS (SELECT c.*, coalesce(1.0 / (60 + b), 0) + coalesce(1.0 / (60 + d), 0) + CASE WHEN t.item IS NULL THEN 0 ELSE 0.25 / 61 END AS s FROM c LEFT JOIN t USING (item))
-    SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, b NULLS LAST, d NULLS LAST, item) AS rank, enabled FROM s JOIN g USING (query_id) WHERE enabled
-    UNION ALL SELECT query_id, item, rank, enabled FROM full_text JOIN g USING (query_id) WHERE NOT enabled"""
+    SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, b NULLS LAST, d NULLS LAST, item) AS rank, enabled, reason FROM s JOIN g USING (query_id) WHERE enabled
+    UNION ALL SELECT query_id, item, rank, enabled, reason FROM full_text JOIN g USING (query_id) WHERE NOT enabled"""
 )
 def selective_gate(spark, sf_dir):
-    """12.25: BM25 unless enough candidates hold tables."""
+    """12.25: BM25 unless the query asks for tables or enough candidates hold figures."""
     lists = _two_lists(spark, sf_dir)
-    tables = table(spark, sf_dir, "documents").where(F.contains("text", F.lit(" | "))).select(F.col("doc_id").alias("item"))
-    routes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.route("text").alias("text_route"))
-    ranked = fusion.selective_rerank(lists.where("list = 0"), lists.where("list = 1"), routes, tables)
-    return ranked.select("query_id", "item", F.col("rank").cast("long").alias("rank"), "enabled")
-
-
-QUERY_BLOCK = 4096
+    tables = table(spark, sf_dir, "documents").where(F.col("text").rlike("[0-9]{4}")).select(F.col("doc_id").alias("item"))
+    ranked = fusion.selective_rerank(lists.where("list = 0"), lists.where("list = 1"), _routes(spark, sf_dir), tables)
+    return ranked.select("query_id", "item", F.col("rank").cast("long").alias("rank"), "enabled", "reason")
 
 
 @query(
@@ -241,13 +309,8 @@ QUERY_BLOCK = 4096
 def dense_top10(spark, sf_dir):
     """12.6, 10.1: exact search; every row whose id is divisible by 20 is a query, taken in blocks."""
     vectors = table(spark, sf_dir, "embeddings")
-    wanted = vectors.where("vec_id % 20 = 0").select("vec_id", "embedding")
-    top = wanted.agg(F.max("vec_id")).first()[0]
-    found = None
-    for low in range(0, (top or 0) + 1, QUERY_BLOCK * 20):
-        block = wanted.where(F.col("vec_id").between(low, low + QUERY_BLOCK * 20 - 1)).collect()  # a block of queries
-        part = dense.dense_top_k_blocked(vectors, [(r["vec_id"], list(r["embedding"])) for r in block], 10)
-        found = part if found is None else found.unionByName(part)
+    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = dense.dense_top_k_blocked(vectors, queries, 10)
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 

@@ -5,6 +5,7 @@ import subprocess
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -19,7 +20,7 @@ SMALL = [
 def rows(found):
     names = sorted(found.columns)
     plain = lambda v: f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
-    return sorted(tuple("" if v is None or v != v else plain(v) for v in r) for r in found[names].astype(object).itertuples(index=False))
+    return sorted(tuple("" if pd.isna(v) else plain(v) for v in r) for r in found[names].astype(object).itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", SMALL)
