@@ -2,76 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words are maximal runs of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is absent and the master is local (tests, a laptop) a
-    local temporary folder is used; on a cluster the setting must name shared
-    storage, and without it nothing is written.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder with Hadoop's own client, whatever store holds it."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    # a session that has ended already took its py4j gateway with it
-    if spark._jsc.sc().isStopped():
-        return
-    remove_path(spark, path)
+from quillgraph.scratch import released, remove_at_exit, shared_root, spread, staged
 
+__all__ = ["WORD", "hash_buckets", "released", "remove_at_exit", "running_total", "shared_root", "spread", "staged"]
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
-
-    The written table cuts the lineage: a lost executor costs the tasks of the
-    current job, never the jobs that led here.
-    """
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/quillgraph-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    remove_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def released(df: DataFrame) -> None:
-    """Delete a table that ``staged`` gave back and that no later job reads."""
-    for name in df.inputFiles()[:1]:
-        remove_path(df.sparkSession, name.rpartition("/")[0])
-
-
-def remove_at_exit(spark: SparkSession, path: str) -> None:
-    """Delete a folder when the application ends."""
-    atexit.register(_guarded, spark, path)
-
-
-def _guarded(spark: SparkSession, path: str) -> None:
-    try:
-        _remove_at_exit(spark, path)
-    except Exception as error:  # the JVM may be gone at interpreter exit
-        del error
+#: Words are maximal runs of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def hash_buckets(rows: int, per_bucket: int = 20_000) -> int:

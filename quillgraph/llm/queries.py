@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.byte_bpe import codec, round_trip
-from quillgraph.llm.common import WORD
+from quillgraph.llm.common import WORD, spread
 from quillgraph.llm.exact_dedup import exact_dedup
 from quillgraph.llm.gif import gif_frames, media_columns, with_media
 from quillgraph.llm.line_dedup import line_dedup
@@ -25,7 +25,8 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table over all cores, whatever its number of splits."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str = RANKS) -> DataFrame:
@@ -93,7 +94,8 @@ def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_shards(spark: SparkSession, sf_dir: str, ranks: str = RANKS) -> DataFrame:
     """Where every sequence of token ids of all documents lies in the shards."""
-    return write_shards(_table(spark, sf_dir, "documents"), ids=bpe_ids(codec(ranks, public_tokenizers.PATTERN)))
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")  # as it lies in its files
+    return write_shards(documents, ids=bpe_ids(codec(ranks, public_tokenizers.PATTERN)))
 
 
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
