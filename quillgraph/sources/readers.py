@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -112,12 +113,14 @@ def retrying(fetch: Callable[[str], bytes], attempts: int = 4, wait: Callable[[f
 def paged_snapshot(spark: SparkSession, total: int, page: int, fetch: Callable[[int, int], bytes]) -> DataFrame:
     """``skip, body, sha256`` of every page of a paged service, fetched on the executors."""
 
-    @F.udf("binary")
-    def get(skip: int) -> bytes:
-        return fetch(skip, page)
+    def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for skip in batch.column(0).to_pylist():  # a page at a time, whatever its size
+                yield pa.RecordBatch.from_pydict({"skip": [skip], "body": [fetch(skip, page)]}, schema=kinds)
 
+    kinds = pa.schema([("skip", pa.int64()), ("body", pa.binary())])
     skips = spark.range(0, total, page).select(F.col("id").alias("skip"))
-    return skips.withColumn("body", get("skip")).withColumn("sha256", F.sha2("body", 256))
+    return skips.mapInArrow(get, "skip long, body binary").withColumn("sha256", F.sha2("body", 256))
 
 
 def verified_pages(pages: DataFrame, manifest: DataFrame) -> DataFrame:
