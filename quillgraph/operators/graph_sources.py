@@ -111,7 +111,7 @@ def hashed_walk(starts: DataFrame, edges: DataFrame, steps: int = 3, seed: int =
     for n in range(steps):
         moved = (
             walk.withColumn("at", F.element_at("path", -1)).join(both, "at").where(~F.array_contains("path", F.col("to")))
-            .groupBy("query_id", "path").agg(F.min_by("to", F.struct(F.xxhash64(F.lit(seed), F.lit(n), "to"), F.col("to"))).alias("to"))
+            .groupBy("query_id", "path").agg(F.min_by("to", F.struct(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(str(n)), "to"), 256), F.col("to"))).alias("to"))
         )
         walk = walk.join(moved, ["query_id", "path"], "left").select("query_id", F.when(F.col("to").isNull(), F.col("path")).otherwise(F.concat("path", F.array("to"))).alias("path"))
     return walk
