@@ -130,7 +130,7 @@ def removal_intervals(docs: DataFrame, window: int = 50) -> DataFrame:
         .agg(F.collect_set(F.struct("tie", "first", "n")).alias("wanted"))
     )
     pieces = (
-        docs.join(open_runs, "doc", "left").select("doc", "text", "wanted").mapInArrow(_window_rows(window), PIECES)
+        docs.join(open_runs, "doc").select("doc", "text", "wanted").mapInArrow(_window_rows(window), PIECES)
     )
     pieces = staged(pieces, "substring-windows")
     least = pieces.groupBy(F.col("anchor").alias("a"), F.col("window").alias("w")).agg(F.min("doc").alias("least"))
