@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -230,30 +229,30 @@ def adaptive_rank(rankings: DataFrame, gates: DataFrame, boosts: DataFrame, weig
     scored = fused.withColumn("score", F.col("base") + F.when(F.col("boosted"), boost).otherwise(0.0)).where("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "first", "item")
     ranked = scored.withColumn("rank", F.row_number().over(order)).select("query_id", "item", "score", "rank", "required")
-    kind = rankings.schema
-    schema = f"query_id {kind['query_id'].dataType.simpleString()}, item {kind['item'].dataType.simpleString()}, score double, rank int, retained boolean"
-    return ranked.groupBy("query_id").applyInPandas(_keeper(top_k), schema)
-
-
-def _keeper(top_k: int):
-    """One query's ranking with the required rows swapped into the first ``top_k``."""
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("rank").to_dict("records")
-        moved = set()
-        for want in [r for r in rows if r["required"]]:
-            head = rows[:top_k]
-            spare = [r for r in head if not r["required"]]
-            if want in head or not spare:
-                continue
-            out = min(spare, key=lambda r: (r["score"], r["item"]))
-            at = rows.index(out)
-            rows.remove(want)
-            rows[at] = want
-            rows.insert(top_k, out)
-            moved.add(want["item"])
-        for i, r in enumerate(rows, 1):
-            r["rank"], r["retained"] = i, r["item"] in moved
-        return pd.DataFrame(rows)[["query_id", "item", "score", "rank", "retained"]]
-
-    return keep
+    return _retained(ranked, top_k)
+
+
+def _retained(ranked: DataFrame, top_k: int) -> DataFrame:
+    """Rankings with the ``required`` rows beyond ``top_k`` swapped in for the weakest rows that aren't required.
+
+    The i-th such row takes the place of the i-th weakest; what is displaced
+    follows right behind the first ``top_k``, the last one displaced first.
+    """
+    head, query = F.col("rank") <= top_k, Window.partitionBy("query_id")
+    spare, want = head & ~F.col("required"), ~head & F.col("required")
+    marked = (
+        ranked.withColumn("kind", F.when(spare, "spare").when(want, "want").otherwise("stay"))
+        .withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "kind").orderBy(F.when(spare, F.round("score", 12)).otherwise(F.col("rank")), "item")))
+        .withColumn("swaps", F.least(F.coalesce(F.max(F.when(spare, F.col("nth"))).over(query), F.lit(0)), F.coalesce(F.max(F.when(want, F.col("nth"))).over(query), F.lit(0))))
+        .withColumn("moves", F.col("kind").isin("spare", "want") & (F.col("nth") <= F.col("swaps")))
+    )
+    gaps = marked.where("moves AND kind = 'spare'").select("query_id", "nth", F.col("rank").alias("gap"))
+    placed = marked.join(gaps, ["query_id", "nth"], "left").withColumn(
+        "place",
+        F.when(F.col("moves") & (F.col("kind") == "want"), F.struct(F.lit(0).alias("part"), F.col("gap").alias("at")))
+        .when(F.col("moves"), F.struct(F.lit(1).alias("part"), (-F.col("nth")).alias("at")))
+        .when(head, F.struct(F.lit(0).alias("part"), F.col("rank").alias("at")))
+        .otherwise(F.struct(F.lit(2).alias("part"), F.col("rank").alias("at"))),
+    )
+    order = Window.partitionBy("query_id").orderBy("place")
+    return placed.select("query_id", "item", "score", F.row_number().over(order).alias("rank"), (F.col("moves") & (F.col("kind") == "want")).alias("retained"))

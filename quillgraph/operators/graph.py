@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.ids import surrogate_id
 from quillgraph.functions.text import alias_forms, normalize, normalize_alias
+from quillgraph.scratch import staged
 
 # Relations that may be walked, in the order they are tried.
 RELATION_PRIORITY = {
@@ -231,6 +232,8 @@ def bounded_paths(anchors: DataFrame, near: DataFrame, goals: DataFrame, depth:
 
     A path ends at its first goal. Level by level, a join with the adjacency;
     places along the way give the breadth-first order in which paths are kept.
+    Longer paths rank behind, so an anchor with ``per_anchor`` paths is walked
+    no further; each level is a table of the shared folder.
     """
     goal = goals.select(F.col("node").alias("end")).distinct().withColumn("is_goal", F.lit(True))
     frontier = anchors.select("query_id", F.col("node").alias("anchor"), F.array("node").alias("path"), F.array().cast("array<int>").alias("order"), F.array().cast("array<string>").alias("relations"))
@@ -243,9 +246,11 @@ def bounded_paths(anchors: DataFrame, near: DataFrame, goals: DataFrame, depth:
             .select("query_id", "anchor", F.concat("path", F.array("neighbour")).alias("path"), F.concat("order", F.array("place")).alias("order"), F.concat("relations", F.array("relation")).alias("relations"), F.col("neighbour").alias("end"))
             .join(goal, "end", "left")
         )
+        grown = staged(grown, "paths")
         done = grown.where("is_goal").drop("is_goal", "end")
         found = done if found is None else found.unionByName(done)
-        frontier = grown.where("is_goal IS NULL").drop("is_goal", "end")
+        full = found.groupBy("query_id", "anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= per_anchor)
+        frontier = grown.where("is_goal IS NULL").drop("is_goal", "end").join(full, ["query_id", "anchor"], "left_anti")
     length = F.size("path")
     nth = F.row_number().over(Window.partitionBy("query_id", "anchor").orderBy(length, "order", "path"))
     kept = found.withColumn("nth", nth).where(F.col("nth") <= per_anchor)

@@ -9,7 +9,7 @@ from quillgraph.functions import text
 from quillgraph.operators import chunking, dense, enrichment, fusion, integrity, metrics, sampling, stats
 from quillgraph.plans import retrieval_queries as rq
 from quillgraph.plans.registry import query, table
-from quillgraph.plans.text_queries import TOKENS
+from quillgraph.plans.text_queries import _STOPS, TOKENS, _any
 
 
 @query()
@@ -177,7 +177,23 @@ def failure_taxonomy(spark, sf_dir):
     )
 
 
-@query()
+_HEAD = "left(coalesce(text, ''), 80)"
+
+
+@query(
+    f"""WITH {rq._LISTS}, i AS (SELECT item_id AS query_id, text AS q, list_distinct([t FOR t IN {TOKENS.format("text")} IF len(t) > 1 AND NOT list_contains({_STOPS}, t)]) AS w, {_any("text", text.TABLE_TERMS)} AS asks FROM benchmark),
+    h AS (SELECT doc_id AS item, list_distinct([t FOR t IN {TOKENS.format(_HEAD)} IF len(t) > 1 AND NOT list_contains({_STOPS}, t)]) AS w, {_any(_HEAD, text.TABLE_TERMS)} AS shows FROM documents),
+    f AS (SELECT query_id, item, sum(1.0 / (60 + rank)) AS base, min(rank) AS first, max(rank <= 1) AS required FROM lists WHERE rank <= 10 GROUP BY ALL),
+    s AS (SELECT f.*, base + CASE WHEN asks AND shows THEN 0.004 ELSE 0 END + 0.003 * CASE WHEN len(i.w) = 0 THEN 0 ELSE len(list_intersect(i.w, h.w)) / len(i.w)::DOUBLE END AS score FROM f JOIN i USING (query_id) JOIN h USING (item)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first, item) AS rank FROM s),
+    k AS (SELECT *, CASE WHEN rank <= 5 AND NOT required THEN 'spare' WHEN rank > 5 AND required THEN 'want' ELSE 'stay' END AS kind FROM r),
+    n AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY CASE WHEN kind = 'spare' THEN round(score, 12) ELSE rank END, item) AS nth,
+                 least(count(*) FILTER (WHERE kind = 'spare') OVER (PARTITION BY query_id), count(*) FILTER (WHERE kind = 'want') OVER (PARTITION BY query_id)) AS swaps FROM k),
+    m AS (SELECT a.*, a.kind != 'stay' AND a.nth <= a.swaps AS moves, b.rank AS gap FROM n a LEFT JOIN n b ON b.query_id = a.query_id AND b.nth = a.nth AND b.kind = 'spare' AND b.nth <= b.swaps)
+    SELECT query_id, item, round(score, 9) AS score, moves AND kind = 'want' AS retained,
+           row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= 5 AND NOT moves OR moves AND kind = 'want' THEN 0 WHEN moves THEN 1 ELSE 2 END,
+                              CASE WHEN moves AND kind = 'want' THEN gap WHEN moves THEN -nth ELSE rank END) AS rank FROM m"""
+)
 def adaptive_fusion(spark, sf_dir):
     """12.21 to 12.23: gated fusion with boosts and kept text routes; sources give the graph route."""
     lists = rq._two_lists(spark, sf_dir).select("query_id", "item", "route", "rank").where("rank <= 10")
@@ -188,7 +204,8 @@ def adaptive_fusion(spark, sf_dir):
         "query_id", "item", F.lit(False).alias("explicit_document"), (text.has_any_term("query") & text.has_any_term("heading")).alias("table_match"),
         text.heading_overlap("query", "heading").alias("overlap"),
     )
-    return fusion.adaptive_rank(lists, gates, boosts)
+    ranked = fusion.adaptive_rank(lists, gates, boosts)
+    return ranked.select("query_id", "item", F.round("score", 9).alias("score"), "retained", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
