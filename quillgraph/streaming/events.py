@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -34,16 +36,37 @@ def first_seen(events: DataFrame, key: str = "event_id", late: str = "1 hour") -
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def extend_snapshot(stream: DataFrame, path: str, key: list[str], checkpoint: str) -> StreamingQuery:
-    """Keeps a snapshot up to date, one version a batch: rows of a batch take the place of those with their key."""
+def extend_snapshot(
+    stream: DataFrame, path: str, key: list[str], checkpoint: str, reduce: Callable[[DataFrame, int], DataFrame] | None = None
+) -> StreamingQuery:
+    """Keeps a snapshot up to date, one version a batch: rows of a batch take the place of those with their key.
+
+    ``reduce`` makes one row per key of a batch; without it any one of equal
+    keys stays. Empty batches give no version.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if path_exists(spark, f"{path}/v={number}/_SUCCESS"):
-            return  # the batch was merged before a restart
-        before = f"{path}/v={number - 1}"
-        fresh = batch.dropDuplicates(key)
-        merged = upsert(spark.read.parquet(before), fresh, key) if number and path_exists(spark, before) else fresh
-        merged.write.mode("overwrite").parquet(f"{path}/v={number}")
+        if path_exists(spark, f"{path}/v={number:09d}/_SUCCESS") or batch.isEmpty():
+            return  # the batch was merged before a restart, or brings nothing
+        fresh = reduce(batch, number) if reduce else batch.dropDuplicates(key)
+        before = [v for v in _versions(spark, path) if v < number]
+        merged = upsert(spark.read.parquet(f"{path}/v={before[-1]:09d}"), fresh, key) if before else fresh
+        merged.write.mode("overwrite").parquet(f"{path}/v={number:09d}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The finished versions of a snapshot, in order; one folder a batch."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        return []
+    names = [f.getPath().getName() for f in store.listStatus(where)]
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and path_exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The newest finished version."""
+    return spark.read.parquet(f"{path}/v={_versions(spark, path)[-1]:09d}")
