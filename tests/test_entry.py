@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from quillgraph.plans import registry
 
 DATA = "/root/testdata/sf0.001"
 SMALL = [
@@ -16,6 +17,9 @@ SMALL = [
     "optional_country", "last_view_before_purchase", "holm_correction", "kappa_ac1",
 ]
 
+MODULES = ("contract_queries", "evidence_queries", "stream_queries")
+SMALL += sorted(n for n, f in registry.QUERIES.items() if f.__module__.rpartition(".")[2] in MODULES and n in registry.ORACLE_SQL)
+
 
 def rows(found):
     names = sorted(found.columns)
