@@ -100,7 +100,7 @@ class _Memo(dict):
 class ByteBpe:
     """A byte-level BPE codec for a rank file and a pre-token pattern."""
 
-    def __init__(self, rank_file: bytes, pattern: str, memo_entries: int = 1_000_000) -> None:
+    def __init__(self, rank_file: bytes, pattern: str, memo_entries: int = 700_000) -> None:
         rows = sorted((int(rank), base64.b64decode(token)) for token, rank in map(bytes.split, rank_file.splitlines()))
         self.tokens = {rank: token for rank, token in rows}
         self.ranks = [rank for rank, _ in rows]

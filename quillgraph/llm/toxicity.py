@@ -170,7 +170,7 @@ class ToxicModel:
 
     UNIT = 1e6
 
-    def __init__(self, landmarks: list[str], beta: np.ndarray, bias: float, platt: tuple[float, float], memo: int = 300_000):
+    def __init__(self, landmarks: list[str], beta: np.ndarray, bias: float, platt: tuple[float, float], memo: int = 200_000):
         self.landmarks, self.beta, self.bias, self.platt, self.most = landmarks, beta, bias, platt, memo
         self._prepare()
 
