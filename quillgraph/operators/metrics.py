@@ -5,6 +5,8 @@ Rankings are ``method, query_id, item, rank``; gold is ``query_id, item``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,3 +100,9 @@ def contiguous(needle: Column, haystack: Column) -> Column:
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(haystack) - F.size(needle) + 1))
     inside = F.exists(starts, lambda i: F.slice(haystack, i, F.greatest(F.size(needle), F.lit(1))) == needle)
     return (F.size(needle) > 0) & (F.size(needle) <= F.size(haystack)) & inside
+
+
+def evaluate_method(queries: DataFrame, retrieve: Callable[[DataFrame, int], DataFrame], gold: DataFrame, method: str, k: int = 60) -> DataFrame:
+    """Metrics of an injected retrieval: a function of the queries and a depth that gives ``query_id, item, rank``."""
+    ranked = retrieve(queries, k).where(F.col("rank") <= k)
+    return query_metrics(ranked.select(F.lit(method).alias("method"), "query_id", "item", "rank"), gold)

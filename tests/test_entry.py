@@ -17,7 +17,7 @@ SMALL = [
     "optional_country", "last_view_before_purchase", "holm_correction", "kappa_ac1",
 ]
 
-MODULES = ("contract_queries", "evidence_queries", "stream_queries")
+MODULES = ("contract_queries", "evidence_queries", "service_queries", "stream_queries")
 SMALL += sorted(n for n, f in registry.QUERIES.items() if f.__module__.rpartition(".")[2] in MODULES and n in registry.ORACLE_SQL)
 
 
