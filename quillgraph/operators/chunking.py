@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.operators.graph import stack_parents
+
 MAX_CHARS, OVERLAP, MAX_DEPTH = 2000, 200, 3
 SEPARATORS = ("\n\n", "\n", ". ", "; ", ", ", " ")
 HEADING = re.compile(r"^(#{1,6})\s+(.*)$")
@@ -215,11 +217,12 @@ def linked_chunks(chunks: DataFrame) -> DataFrame:
     """Adds prev/next chunk ids and the number of direct children."""
     order = Window.partitionBy("doc_id").orderBy("seq")
     linked = chunks.withColumn("prev_chunk_id", F.lag("chunk_id").over(order)).withColumn("next_chunk_id", F.lead("chunk_id").over(order))
-    after = order.rowsBetween(1, Window.unboundedFollowing)
-    later = F.collect_list(F.struct("seq", "level")).over(after)  # the chunks of one document
-    stop = F.array_min(F.transform(F.filter(later, lambda x: x["level"] <= F.col("level")), lambda x: x["seq"]))
-    mine = F.filter(later, lambda x: (x["level"] == F.col("level") + 1) & (stop.isNull() | (x["seq"] < stop)))
-    return linked.withColumn("children_count", F.size(mine))
+    # levels begin at 0; a child stands one level below the nearest row before it with a smaller level
+    rows = linked.select("doc_id", "seq", (F.col("level") + 1).alias("depth"))
+    under = stack_parents(rows, "doc_id", "seq", "depth", "seq", MAX_DEPTH + 2).where("parent IS NOT NULL")
+    above = rows.select("doc_id", F.col("seq").alias("parent"), F.col("depth").alias("parent_depth"))
+    children = under.join(above, ["doc_id", "parent"]).where("depth = parent_depth + 1").groupBy("doc_id", F.col("parent").alias("seq")).agg(F.count(F.lit(1)).cast("int").alias("children_count"))
+    return linked.join(children, ["doc_id", "seq"], "left").withColumn("children_count", F.coalesce("children_count", F.lit(0)))
 
 
 def longest_contents(chunks: DataFrame) -> DataFrame:

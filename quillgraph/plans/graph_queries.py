@@ -134,7 +134,7 @@ def scarce_parts(spark, sf_dir):
     FROM supply JOIN supplier ON s_suppkey = supp JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL"""
 )
 def supply_chain_3hop(spark, sf_dir):
-    """7.18: part, supplier, country and region chained."""
+    """7.1, 7.2, 7.18, 8.5: part, supplier, country and region chained."""
     chain = (
         _supply(spark, sf_dir)
         .join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supp"), "s_nationkey"), "supp")
@@ -171,7 +171,7 @@ def dangling_edges(spark, sf_dir):
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
 def customers_without_orders(spark, sf_dir):
-    """7.20: the negative pattern as an anti join: customers without an urgent order."""
+    """7.3, 7.4, 7.20: the negative pattern as an anti join: customers without an urgent order."""
     urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
     return table(spark, sf_dir, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
@@ -207,7 +207,7 @@ def treats_same_capped(spark, sf_dir):
 
 @query("SELECT conv_id, turn, lag(turn) OVER w AS prev_turn, lead(turn) OVER w AS next_turn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def prev_next(spark, sf_dir):
-    """13.3: neighbours in order."""
+    """9.8, 13.3: neighbours in order."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("turn").over(w).alias("prev_turn"), F.lead("turn").over(w).alias("next_turn"))
 
@@ -289,7 +289,7 @@ _NAMES = "(SELECT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS
     SELECT s_suppkey, alias FROM t JOIN n ON contains(t, ' ' || alias || ' ')"""
 )
 def phrase_mentions(spark, sf_dir):
-    """7.5, 7.7: whole-word mentions of part names in a sentence on every maker, by n-gram equi join."""
+    """5.10, 7.5, 7.7: whole-word mentions of part names in a sentence on every maker, by n-gram equi join."""
     parts = table(spark, sf_dir, "part")
     name = lambda key, alias: parts.select(F.col("p_partkey").alias(key), F.col("p_name").alias(alias))
     makers = table(spark, sf_dir, "supplier").withColumn("two", F.col("s_suppkey") * 2)
@@ -355,7 +355,7 @@ def round_robin_docs(spark, sf_dir):
     SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'missing' ELSE 'changed' END AS change FROM a FULL JOIN b USING (k) WHERE a.h IS DISTINCT FROM b.h"""
 )
 def inventory_diff(spark, sf_dir):
-    """7.23, 18.6: added, missing and changed entries of two inventories made from one table."""
+    """7.23, 7.27, 18.6: added, missing and changed entries of two inventories made from one table."""
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.sha2("p_name", 256).alias("h"))
     before = rows.where("k % 7 != 0")
     after = rows.where("k % 5 != 0").withColumn("h", F.when(F.col("k") % 11 == 0, "x").otherwise(F.col("h")))

@@ -97,7 +97,7 @@ _GOLD = "gold AS (SELECT DISTINCT item_id AS query_id, doc_id AS item FROM bench
 
 
 def bm25_top10(spark, sf_dir):
-    """12.1, 12.2: the ten best documents of every benchmark item."""
+    """12.1, 12.2, 12.3: the ten best documents of every benchmark item."""
     found = _bm25(spark, sf_dir, 10)
     return found.select("query_id", "item", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -146,7 +146,7 @@ def _per_query(spark, sf_dir):
     f"WITH {_FULL}, {_GOLD}, {_METRICS} SELECT query_id, hit1, hit3, hit5, round(precision5, 6) AS precision5, round(recall5, 6) AS recall5, round(mrr, 6) AS mrr, round(ndcg5, 6) AS ndcg5 FROM m"
 )
 def hit_mrr_ndcg(spark, sf_dir):
-    """15.1 to 15.5: metrics of BM25 for every item with gold."""
+    """9.2, 15.1 to 15.5: metrics of BM25 for every item with gold."""
     rounded = [F.round(c, 6).alias(c) for c in ("precision5", "recall5", "mrr", "ndcg5")]
     return _per_query(spark, sf_dir).select("query_id", "hit1", "hit3", "hit5", *rounded)
 
@@ -157,7 +157,7 @@ def hit_mrr_ndcg(spark, sf_dir):
     FROM (SELECT *, CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS slice FROM m) GROUP BY GROUPING SETS ((), (slice))"""
 )
 def metrics_by_slice(spark, sf_dir):
-    """8.9, 8.11, 15.8: overall and per-slice means in one grouping."""
+    """8.9, 8.11, 8.13, 8.17, 15.8: overall and per-slice means in one grouping."""
     per = _per_query(spark, sf_dir)
     slices = table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("slice")
@@ -183,7 +183,7 @@ _LISTS = f"""{_FULL}, {_DENSE},
     SELECT query_id, item, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first, item) AS rank FROM f"""
 )
 def rrf_text(spark, sf_dir):
-    """12.17: reciprocal-rank fusion of the lexical and the vector route, ties by best rank."""
+    """11.9, 12.17: reciprocal-rank fusion of the lexical and the vector route, ties by best rank."""
     fused = fusion.rrf(_two_lists(spark, sf_dir))
     return fused.select("query_id", "item", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -307,7 +307,7 @@ def selective_gate(spark, sf_dir):
     """
 )
 def dense_top10(spark, sf_dir):
-    """12.6, 10.1: exact search; every row whose id is divisible by 20 is a query, taken in blocks."""
+    """10.1, 12.6, 12.28: exact search; every row whose id is divisible by 20 is a query, taken in blocks."""
     vectors = table(spark, sf_dir, "embeddings")
     queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     found = dense.dense_top_k_blocked(vectors, queries, 10)

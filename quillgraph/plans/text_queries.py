@@ -97,7 +97,7 @@ def turn_overlap(spark, sf_dir):
     """
 )
 def html_to_text(spark, sf_dir):
-    """1.x: visible text of pages."""
+    """4.12: visible text of pages."""
     visible = text.html_text("html")
     return table(spark, sf_dir, "pages").select(
         "page_id", F.length(visible).cast("long").alias("n_chars"), F.md5(visible).alias("text_md5")
@@ -114,7 +114,7 @@ def html_to_text(spark, sf_dir):
     """
 )
 def stable_ids(spark, sf_dir):
-    """6.2, 6.4, 6.14: surrogate, blind and run ids."""
+    """6.2, 6.3, 6.4, 6.14: surrogate, blind and run ids."""
     return table(spark, sf_dir, "part").select(
         "p_partkey",
         ids.surrogate_id("api", "p_name").alias("node_id"),
@@ -141,7 +141,7 @@ def hash_shuffle(spark, sf_dir):
     """
 )
 def event_properties(spark, sf_dir):
-    """6.x: named JSON properties as rows."""
+    """6.9: named JSON properties as rows."""
     names = F.array(*[F.lit(k) for k in ("page", "ref", "k")])
     rows = table(spark, sf_dir, "events").select("event_id", F.explode(names).alias("name"), "props")
     value = F.coalesce(*[F.when(F.col("name") == k, F.get_json_object("props", f"$.{k}")) for k in ("page", "ref", "k")])

@@ -14,7 +14,7 @@ from quillgraph.plans.text_queries import _STOPS, TOKENS, _any
 
 @query()
 def chunk_documents(spark, sf_dir):
-    """3.1 to 3.24: all documents as linked chunks."""
+    """3.1 to 3.26, 20.5: all documents as linked chunks."""
     chunks = chunking.linked_chunks(chunking.chunk_documents(table(spark, sf_dir, "documents")))
     return chunks.select("doc_id", "seq", "chunk_id", "level", "char_count", "line_count", "prev_chunk_id", "next_chunk_id", "children_count")
 
@@ -48,14 +48,14 @@ def enrichment_calls(spark, sf_dir):
     count_if(trim(coalesce(text, '')) = '')::BIGINT AS empty_chunks, count_if(source = 'src1')::BIGINT AS excluded_rows FROM documents"""
 )
 def enrichment_inventory(spark, sf_dir):
-    """4.17: what an enriched corpus holds, with a source read as excluded."""
+    """3.30, 4.17: what an enriched corpus holds, with a source read as excluded."""
     found = enrichment.inventory(_as_chunks(spark, sf_dir), ["src1"])
     return found.withColumn("max_chars", F.col("max_chars").cast("long"))
 
 
 @query()
 def guarded_questions(spark, sf_dir):
-    """4.5, 4.6: questions of a stand-in model through the guards."""
+    """4.5, 4.6, 4.24: questions of a stand-in model through the guards."""
     chunks = _as_chunks(spark, sf_dir)
     prompts = chunks.select(F.col("chunk_id").alias("key"), F.left("content", F.lit(200)).alias("prompt"))
     answers = enrichment.complete(prompts, lambda ps: [f"1. What does it say about {p[:40]}?\n2. Why?\n- Does FDA agree with {p[:30]}?" for p in ps])
@@ -97,7 +97,7 @@ def batch_assignment(spark, sf_dir):
 
 @query("SELECT source, 60 AS least, count(*) AS n FROM documents WHERE source IN ('src0', 'src1', 'src2') GROUP BY source HAVING count(*) < 60")
 def quota_check(spark, sf_dir):
-    """18.3: sources below their quota."""
+    """8.19, 17.13, 18.3: sources below their quota."""
     return integrity.quota_problems(table(spark, sf_dir, "documents"), "source", {"src0": 60, "src1": 60, "src2": 60})
 
 
