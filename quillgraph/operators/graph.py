@@ -156,12 +156,13 @@ def mentions(texts: DataFrame, nodes: DataFrame, id_col: str, text_col: str) ->
     return edges_of(first, F.col("id").cast("string"), "MENTIONS", F.col("node"), start=F.col("m.start"), alias=F.col("m.alias"))
 
 
-def longest_spans(hits: DataFrame) -> DataFrame:
-    """Non-overlapping hits per text, greedily: longer spans, more characters, earlier start, alias.
+def longest_spans(hits: DataFrame, by_length: bool = True) -> DataFrame:
+    """Non-overlapping hits per text, greedily: more words, more characters (with ``by_length``), earlier start, alias.
 
     The hits of one text are folded in one row; a text has few.
     """
-    order = F.struct((-F.col("n_words")).alias("w"), (-F.length("alias")).alias("c"), F.col("start"), F.col("alias"), F.col("n_words"))
+    chars = -F.length("alias") if by_length else F.lit(0)
+    order = F.struct((-F.col("n_words")).alias("w"), chars.alias("c"), F.col("start"), F.col("alias"), F.col("n_words"))
     listed = hits.groupBy("id").agg(F.array_sort(F.collect_list(order)).alias("hits"))
     free = lambda taken, h: ~F.exists(taken, lambda t: (h["start"] < t["start"] + t["n_words"]) & (t["start"] < h["start"] + h["n_words"]))
     kept = F.aggregate("hits", F.slice("hits", 1, 0), lambda taken, h: F.when(free(taken, h), F.concat(taken, F.array(h))).otherwise(taken))
@@ -305,50 +306,3 @@ def risk_score(labels: Column, relations: Column) -> Column:
     )
     hops = F.size(relations)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), base * F.when(hops > 2, 1 - 0.1 * (hops - 2)).otherwise(1.0)))
-
-
-def connected_subgraphs(anchors: DataFrame, edges: DataFrame, most_edges: int = 3) -> DataFrame:
-    """All connected edge sets of up to ``most_edges`` that hold an anchor: ``query_id, signature, size, orientation``.
-
-    A set is known by its sorted triples. Growing adds an incident edge unless
-    it closes a cycle other than a parallel one. Orientation counts the edges
-    walked along their direction; the most of any way to grow the set counts.
-    """
-    triples = edges.select(F.struct("source", "relation", "target").alias("e")).distinct()
-    touch = triples.select(F.explode(F.array(F.struct(F.col("e.source").alias("node"), F.lit(1).alias("along")), F.struct(F.col("e.target").alias("node"), F.lit(0).alias("along")))).alias("t"), "e").select("t.node", "t.along", "e")
-    state = anchors.select("query_id", F.array().cast(triples.schema["e"].dataType.simpleString().join(("array<", ">"))).alias("signature"), F.array("node").alias("nodes"), F.lit(0).alias("orientation"))
-    out = None
-    for size in range(1, most_edges + 1):
-        other = F.when(F.col("along") == 1, F.col("e.target")).otherwise(F.col("e.source"))
-        parallel = F.exists("signature", lambda s: F.array_sort(F.array(s["source"], s["target"])) == F.array_sort(F.array(F.col("e.source"), F.col("e.target"))))
-        grown = (
-            state.withColumn("node", F.explode("nodes"))
-            .join(touch, "node")
-            .where(~F.array_contains("signature", F.col("e")))
-            .withColumn("other", other)
-            .where(~F.array_contains("nodes", F.col("other")) | parallel)
-        )
-        state = (
-            grown.select("query_id", F.array_sort(F.concat("signature", F.array("e"))).alias("signature"), F.array_sort(F.array_union("nodes", F.array("other"))).alias("nodes"), (F.col("orientation") + F.col("along")).alias("orientation"))
-            .groupBy("query_id", "signature")
-            .agg(F.first("nodes").alias("nodes"), F.max("orientation").alias("orientation"))
-            .select("query_id", "signature", "nodes", "orientation")
-        )
-        level = state.select("query_id", "signature", F.lit(size).alias("size"), "orientation")
-        out = level if out is None else out.unionByName(level)
-    return out
-
-
-def rank_chains(candidates: DataFrame, question_tokens: DataFrame) -> DataFrame:
-    """Chains ranked by token coverage, precision, length and orientation; ties by size, then signature."""
-    text = F.array_join(F.transform("signature", lambda s: F.concat_ws(" ", s["source"], s["relation"], s["target"])), " ")
-    words = F.array_distinct(F.split(normalize(text), " "))
-    both = F.size(F.array_intersect("tokens", words))
-    scored = candidates.join(question_tokens, "query_id").withColumn(
-        "score",
-        2.0 * F.try_divide(both, F.size("tokens")) + 0.5 * F.try_divide(both, F.size(words)) - 0.02 * (F.col("size") - 1)
-        + 0.5 * F.col("orientation") / F.col("size"),
-    )
-    key = F.to_json("signature")
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "size", key)
-    return scored.select("query_id", F.sha2(key, 256).alias("chain_id"), "size", "orientation", F.round("score", 6).alias("score"), F.row_number().over(order).alias("rank"))

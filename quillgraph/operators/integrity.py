@@ -20,8 +20,9 @@ def fingerprint(inventory: DataFrame) -> str:
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Rows and an order-free hash sum of a table of any size."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
+    """Rows and an order-free hash sum of a table of any size: 48 bits of each row's hash, columns by name, null apart from empty."""
+    text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-"))
+    row = F.conv(F.left(F.sha2(F.concat_ws("|", *[text(c) for c in sorted(df.columns)]), 256), F.lit(12)), 16, 10)
     return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("hash_sum"))
 
 

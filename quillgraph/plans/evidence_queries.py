@@ -735,7 +735,7 @@ def content_similarities(spark, sf_dir):
     return rows.select("conv_id", "turn", F.round(records.content_similarity(F.col("text"), F.col("before")), 6).alias("similarity"))
 
 
-@query()
+@query(r"SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+'))::INT AS tokens FROM documents")
 def folded_tokens(spark, sf_dir):
     """5.4: compatibility-normalised tokens of every document."""
     return table(spark, sf_dir, "documents").select("doc_id", F.size(records.normalized_tokens("text")).alias("tokens"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillgraph.operators import graph
+from quillgraph.functions.text import tokenize
+from quillgraph.operators import chains, graph
 from quillgraph.plans.registry import query, table
 from quillgraph.plans.text_queries import TOKENS
 
@@ -270,13 +271,46 @@ def bfs_paths(spark, sf_dir):
     return graph.bounded_paths(anchors, near, goals).select("query_id", F.array_join("path", ">").alias("path"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+_CHAIN = f"""e AS (SELECT p_partkey AS source, 'COMPLEMENTS' AS relation, t AS target, p_partkey % 2 AS proven FROM (SELECT p_partkey, unnest([p_partkey * 2 + 1, p_partkey * 2 + 2]) AS t FROM part) JOIN (SELECT p_partkey AS t FROM part) USING (t)
+      UNION ALL SELECT p_partkey, 'SUPERSEDES', p_partkey + 1, 0 FROM part WHERE p_partkey > 0 AND p_partkey % 3 = 0 AND p_partkey + 1 IN (SELECT p_partkey FROM part)),
+    i AS (SELECT item_id, p_partkey AS anchor, 'Which ' || p_name || ' complements it' || CASE WHEN item_id % 2 = 0 THEN ' by superseding' ELSE '' END AS q FROM benchmark JOIN part ON p_partkey = item_id),
+    s(query_id, sig, nodes, along, proven) AS (SELECT item_id, [{{'source': 0::BIGINT, 'relation': '', 'target': 0::BIGINT}}][1:0], [anchor], 0::BIGINT, 0::BIGINT FROM i
+      UNION SELECT query_id, list_sort(list_append(sig, {{'source': e.source, 'relation': e.relation, 'target': e.target}})), list_sort(list_distinct(nodes || [e.source, e.target])),
+                   along + list_contains(nodes, e.source)::INT, s.proven + e.proven
+      FROM s JOIN e ON list_contains(nodes, e.source) != list_contains(nodes, e.target) WHERE len(sig) < 5),
+    c AS (SELECT query_id, sig, nodes, len(sig) AS size, 2.0 * max(along) / max(len(sig)) - 1 AS orientation, max(proven) / max(len(sig))::DOUBLE AS provenance FROM s WHERE len(sig) > 0 GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_CHAIN},
+    t AS (SELECT p_partkey, {TOKENS.format("p_name")} AS w FROM part),
+    f AS (SELECT c.*, (SELECT list_distinct(flatten(list(w))) FROM t WHERE list_contains(c.nodes, t.p_partkey)) AS words, [x FOR x IN list_distinct({TOKENS.format("i.q")}) IF x NOT IN ('which', 'it', 'by')] AS asked,
+          CASE WHEN item_id % 2 = 0 THEN ['COMPLEMENTS', 'SUPERSEDES'] ELSE ['COMPLEMENTS'] END AS cues, [x.relation FOR x IN sig] AS rels FROM c JOIN i ON item_id = query_id),
+    g AS (SELECT query_id, size, sig, CASE WHEN len(list_intersect(asked, words)) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(asked, words)) / (len(asked) + len(words)) END + 0.1 * provenance - 0.02 * (size - 1) AS core,
+          2.0 * len(list_intersect(list_distinct(rels), cues)) / len(cues) + 0.5 * len([x FOR x IN rels IF list_contains(cues, x)]) / size AS cue, 0.5 * orientation AS way FROM f),
+    m AS (SELECT query_id, size, array_to_string(['part:' || x.source || chr(9) || x.relation || chr(9) || 'part:' || x.target FOR x IN list_sort([{{'a': 'part:' || y.source, 'r': y.relation, 'b': 'part:' || y.target, 'source': y.source, 'relation': y.relation, 'target': y.target}} FOR y IN sig])], '||') AS k,
+          unnest(['b0', 'm0', 'cue_off', 'direction_off', 'r1']) AS method, unnest([NULL, core, core + way, core + cue, core + cue + way]) AS score FROM g)
+    SELECT query_id, method, sha256(k) AS chain_id, size::INT AS size, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id, method ORDER BY round(score, 9) DESC NULLS LAST, size, k) AS rank FROM m QUALIFY rank <= 20"""
+)
 def chain_ranking(spark, sf_dir):
-    """14.6 to 14.8: connected subgraphs around each region, ranked."""
-    edges = _edges(spark, sf_dir).where("relation != 'SUPPLIED_BY'").select("source", "relation", "target")
-    anchors = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("query_id"), _id("region:", "r_regionkey").alias("node"))
-    tokens = anchors.select("query_id", F.array(F.lit("located"), F.lit("in"), F.lit("country")).alias("tokens"))
-    return graph.rank_chains(graph.connected_subgraphs(anchors, edges, 3), tokens)
+    """14.6, 14.7, 14.8: connected sets of up to five edges around each question's part, ranked by five methods.
+
+    Parts complement each other along a tree and supersede their neighbours, a graph of small degrees; the supply
+    graph's hubs would run into the limit on attempts at once.
+    """
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    known = parts.select(F.col("p_partkey").alias("t"))
+    down = parts.select("p_partkey", F.explode(F.array(F.col("p_partkey") * 2 + 1, F.col("p_partkey") * 2 + 2)).alias("t")).join(known, "t")
+    after = parts.where("p_partkey > 0 AND p_partkey % 3 = 0").select("p_partkey", (F.col("p_partkey") + 1).alias("t")).join(known, "t")
+    edge = lambda df, name, proven: df.select(_id("part:", "p_partkey").alias("source"), F.lit(name).alias("relation"), _id("part:", "t").alias("target"), proven.alias("proven"))
+    edges = edge(down, "COMPLEMENTS", F.col("p_partkey") % 2 == 1).unionByName(edge(after, "SUPERSEDES", F.lit(False)))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("p_partkey")).join(parts, "p_partkey")
+    more = F.when(F.col("p_partkey") % 2 == 0, " by superseding").otherwise("")
+    questions = asked.select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("Which "), "p_name", F.lit(" complements it"), more).alias("question"))
+    found = chains.chain_candidates(asked.select(F.col("p_partkey").alias("query_id"), _id("part:", "p_partkey").alias("node")), edges)
+    said = questions.select("query_id", F.array_distinct(tokenize("question")).alias("tokens")).join(chains.relation_cues(questions), "query_id")
+    ranked = chains.chain_rankings(found, said, parts.select(_id("part:", "p_partkey").alias("node"), tokenize("p_name").alias("tokens")))
+    return ranked.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
 _NAMES = "(SELECT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS alias, p_partkey FROM part)"

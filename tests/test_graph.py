@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillgraph.operators import graph
+from quillgraph.operators import chains, graph
 
 
 def edges(spark, rows):
@@ -67,13 +67,24 @@ def test_ancestors(spark):
 
 
 def test_chains(spark):
-    g = edges(spark, [("drug:a", "CONTAINS_API", "api:a"), ("api:a", "SUPPLIED_BY", "mfg:x"), ("api:a", "SUPPLIED_BY", "mfg:y"), ("drug:a", "BELONGS_TO_AREA", "api:a")]).select("source", "relation", "target")
-    anchors = spark.createDataFrame([(1, "drug:a")], "query_id int, node string")
-    found = graph.connected_subgraphs(anchors, g, 3)
-    sizes = {n: found.where(f"size = {n}").count() for n in (1, 2, 3)}
-    assert sizes == {1: 2, 2: 5, 3: 4}
-    tokens = spark.createDataFrame([(1, ["drug", "a", "supplied", "by", "mfg", "x"])], "query_id int, tokens array<string>")
-    assert graph.rank_chains(found, tokens).where("rank = 1").first()["size"] >= 2
+    rows = [("drug:a", "CONTAINS_API", "api:a", True), ("api:a", "SUPPLIED_BY", "mfg:x", True), ("api:a", "SUPPLIED_BY", "mfg:y", False), ("drug:a", "BELONGS_TO_AREA", "api:a", False)]
+    g = spark.createDataFrame(rows, "source string, relation string, target string, proven boolean")
+    anchors = spark.createDataFrame([(1, "drug:a"), (1, "mfg:x"), (2, "nowhere")], "query_id int, node string")
+    only = chains.chain_candidates(anchors.where("node = 'drug:a'"), g, 3)
+    assert {n: only.where(f"size = {n}").count() for n in (1, 2, 3)} == {1: 2, 2: 5, 3: 4}
+    assert {r["orientation"] for r in only.collect()} == {1.0}
+    found = chains.chain_candidates(anchors, g, 3)
+    assert {r["query_id"] for r in found.collect()} == {1} and found.count() == found.select("signature").distinct().count()
+    assert chains.chain_candidates(anchors, g, 3, most_attempts=5).count() == 0
+    assert chains.chain_candidates(anchors, g, 3, most_candidates=3).count() == 3
+    question = spark.createDataFrame([(1, "Which suppliers, supplied by api a, replaced mfg x?")], "query_id int, question string")
+    cues = chains.relation_cues(question)
+    assert cues.first()["cues"] == ["SUPPLIED_BY"]
+    words = spark.createDataFrame([("mfg:x", ["mfg", "x"]), ("mfg:y", ["mfg", "y"]), ("api:a", ["api", "a"])], "node string, tokens array<string>")
+    asked = question.select("query_id", F.array(F.lit("api"), F.lit("a"), F.lit("mfg"), F.lit("x")).alias("tokens")).join(cues, "query_id")
+    best = {r["method"]: r for r in chains.chain_rankings(found, asked, words).where("rank = 1").collect()}
+    assert set(best) == {"b0", "m0", "cue_off", "direction_off", "r1"} and best["b0"]["score"] is None
+    assert best["m0"]["score"] <= 1.1 < best["r1"]["score"]
 
 
 def test_longest_spans(spark):
