@@ -95,6 +95,12 @@ def has_any_term(text: Column | str, terms=TABLE_TERMS, whole: bool = True) -> C
     return found
 
 
+def names_document(query: Column | str, aliases: Column) -> Column:
+    """Whether a query holds one of a document's names as a whole phrase; without names it doesn't."""
+    norm = normalize(query)
+    return F.coalesce(F.exists(aliases, lambda a: has_phrase(norm, a)), F.lit(False))
+
+
 def route(query: Column | str, names_document: Column | None = None) -> Column:
     """table, hierarchy, lexical (a document is named) or semantic, in that order."""
     named = F.lit(False) if names_document is None else names_document

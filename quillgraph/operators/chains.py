@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import set_f1
+from quillgraph.functions.text import normalize, set_f1
 from quillgraph.operators.graph import longest_spans, phrase_hits
 from quillgraph.scratch import staged
 
@@ -28,10 +28,24 @@ STOP_WORDS = (
     "a an and are as at be both by does for from how in is it of on or that the their "
     "then this through to was what when which who with"
 ).split()
+ALIAS_PROPERTIES = ("doc_id", "package_ndc", "generic_name", "ingredient_name", "company_name", "reference_name", "topic_name", "cas")
+EQUIVALENT_ALIASES = {"ema gmp annex 11": ("eu gmp annex 11", "eudralex volume 4 annex 11")}
 WEIGHTS = {"node_token_f1": 1.0, "provenance": 0.1, "extra_edge": -0.02, "relation_coverage": 2.0, "relation_precision": 0.5, "orientation": 0.5}
 MAX_EDGES, MAX_CANDIDATES, MAX_ATTEMPTS = 5, 50_000, 2_000_000
 
 
+def node_aliases(nodes: DataFrame) -> DataFrame:
+    """``id, alias``: what a node answers to: its name, what follows the kind in its id, and some properties, with their equivalents.
+
+    Aliases are words joined by one space; those with fewer than three letters and digits go.
+    """
+    said = [F.col("name"), F.regexp_extract("id", "^[^:]*:(.*)$", 1), *[F.get_json_object("properties", f"$.{p}") for p in ALIAS_PROPERTIES]]
+    rows = nodes.select("id", F.explode(F.array(*[normalize(c) for c in said])).alias("alias")).where(F.length(F.replace("alias", F.lit(" "), F.lit(""))) >= 3)
+    same = F.create_map(*[x for k, v in EQUIVALENT_ALIASES.items() for x in (F.lit(k), F.array(*[F.lit(a) for a in v]))])
+    more = rows.select("id", F.explode(same[F.col("alias")]).alias("alias"))
+    return rows.unionByName(more).distinct()
+
+
 def relation_cues(questions: DataFrame) -> DataFrame:
     """``query_id, cues``: relations that a question (``query_id, question``) speaks of, by the longest phrases that don't overlap."""
     spark = questions.sparkSession

@@ -74,6 +74,21 @@ def cluster_bootstrap(values: DataFrame, iterations: int = 1000, seed: int = 202
     return sizes.join(bands, "label").select("label", "n", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
+def stratified_bootstrap(values: DataFrame, iterations: int = 1000, seed: int = 20260716) -> DataFrame:
+    """Resamples inside strata: rows ``label, stratum, unit, value``; each stratum keeps its size in every draw."""
+    numbered = values.withColumn("nth", F.row_number().over(Window.partitionBy("label", "stratum").orderBy("unit")) - 1)
+    sizes = numbered.groupBy("label", "stratum").agg(F.count(F.lit(1)).alias("n"))
+    draws = (
+        sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+        .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        .withColumn("nth", F.pmod(F.xxhash64(F.lit(seed), "label", "stratum", "b", "i"), F.col("n")))
+    )
+    samples = draws.join(numbered.select("label", "stratum", "nth", "value"), ["label", "stratum", "nth"]).groupBy("label", "b").agg(F.avg("value").alias("m"))
+    bands = samples.groupBy("label").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    means = values.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
+    return means.join(bands, "label").select("label", "n", F.round("mean", 6).alias("mean"), F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
+
+
 def log_factorial(n: Column) -> Column:
     """ln n! by Stirling's series above 20, by summing below."""
     x = n.cast("double")

@@ -6,7 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillgraph.operators import chunking, evidence, graph, metrics
+from quillgraph.functions import text
+from quillgraph.operators import chains, chunking, evidence, graph, metrics, stats
 from quillgraph.plans import graph_queries as gq
 from quillgraph.plans import retrieval_queries as rq
 from quillgraph.plans.registry import query, table
@@ -165,3 +166,42 @@ def document_metrics(spark, sf_dir):
     gold = rq._gold(spark, sf_dir).join(docs, "item").select("query_id", F.col("doc").alias("item"))
     per = metrics.query_metrics(ranked, gold)
     return per.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hit5"), 6).alias("hit5"), F.round(F.avg("mrr"), 6).alias("mrr"))
+
+
+@query(
+    f"""WITH n AS (SELECT p_partkey, [p_name, p_partkey::VARCHAR, p_type, CASE WHEN p_partkey % 100 = 0 THEN 'EMA GMP: Annex 11' END] AS said FROM part),
+    a AS (SELECT p_partkey, array_to_string({TOKENS.format("x")}, ' ') AS alias FROM (SELECT p_partkey, unnest(said) AS x FROM n))
+    SELECT DISTINCT p_partkey, alias FROM a WHERE length(replace(alias, ' ', '')) >= 3
+    UNION SELECT p_partkey, unnest(['ema gmp annex 11', 'eu gmp annex 11', 'eudralex volume 4 annex 11']) FROM part WHERE p_partkey % 100 = 0"""
+)
+def node_alias_rows(spark, sf_dir):
+    """7.29: what every part answers to: name, id, properties and their equivalents."""
+    parts = table(spark, sf_dir, "part")
+    bag = F.to_json(F.struct(F.col("p_type").alias("generic_name"), F.when(F.col("p_partkey") % 100 == 0, "EMA GMP: Annex 11").alias("topic_name"), F.lit("ignored").alias("other")))
+    nodes = parts.select(gq._id("api:", "p_partkey").alias("id"), F.col("p_name").alias("name"), bag.alias("properties"))
+    return chains.node_aliases(nodes).select(F.substring("id", 5, 20).cast("long").alias("p_partkey"), "alias")
+
+
+@query("SELECT p_partkey, p_partkey % 4 = 0 OR p_partkey % 4 = 1 AS named FROM part")
+def explicit_documents(spark, sf_dir):
+    """5.12: whether a question names a document, by its id or one of its names."""
+    asked = F.element_at(F.array(*[F.lit(q) for q in ("What of ICH-Q9 here", "Is Q9 old", "What of q99", "plain words")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.names_document(asked, text.document_aliases(F.lit("ich_q9"))).alias("named"))
+
+
+@query()
+def stratified_intervals(spark, sf_dir):
+    """16.4: intervals of balances by region, resampled inside nations."""
+    regions = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("stratum"), F.col("n_regionkey").alias("label"))
+    values = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("stratum"), F.col("s_suppkey").alias("unit"), F.col("s_acctbal").alias("value")).join(regions, "stratum")
+    return stats.stratified_bootstrap(values)
+
+
+@query()
+def cluster_intervals(spark, sf_dir):
+    """16.2, 16.5, 20.6: intervals of order values by segment, whole customers resampled; a segment's exact draw beside it."""
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    values = orders.select(F.col("c_mktsegment").alias("label"), F.col("c_custkey").alias("unit"), F.col("o_totalprice").alias("value"))
+    drawn = stats.cluster_bootstrap(values, iterations=200)
+    exact = stats.bootstrap_exact(values.groupBy("label", "unit").agg(F.avg("value").alias("value")), iterations=200)
+    return drawn.join(exact.select("label", F.col("low").alias("exact_low"), F.col("high").alias("exact_high")), "label")
