@@ -213,18 +213,23 @@ class ToxicModel:
 
 
 def fit(
-    texts: list[str], toxic: list[int], marked: int = 64, plain: int = 12, plain_sentences: int = 12, hard: int = 48, cost: float = 30.0
+    texts: list[str], toxic: list[int], marked: int = 64, plain: int = 12, plain_sentences: int = 12, hard: int = 48, cost: float = 30.0,
+    surprise: float = 14.0,
 ) -> ToxicModel:
     """Train on labelled documents, sentence by sentence.
 
     Repeated texts count once, with the label most of them have. Landmarks are
-    the words most tied to the label (by the z value of their log odds over
-    documents, at least 3 of the best in any case) and a few common words.
-    Every sentence starts with its document's label; then each toxic document
-    keeps only its worst sentence, and the SVM is fitted again; clean documents
-    teach with evenly spaced sentences. In the last
-    rounds the loss is a ramp: toxic documents far on the wrong side are taken
-    for wrong labels and left out. With one class only, every score is that
+    the words most tied to the label and a few common words. A word is tied by
+    the log-likelihood ratio of its documents' labels; ``surprise`` nats keep
+    out what one word in a million would reach by chance, as chance landmarks
+    among a large vocabulary fit the noise (3 words stay in any case). Every
+    sentence starts with its document's label; then each toxic document keeps
+    its worst sentence and those that look toxic by now, which count as one
+    together, and the SVM is fitted again; clean documents teach with evenly
+    spaced sentences. In the last rounds the loss is a ramp: toxic
+    documents far on the wrong side are taken for wrong labels and left out.
+    Clean sentences that still come near teach once more, and their words become
+    landmarks against the insults. With one class only, every score is that
     class's share.
     """
     votes: dict[str, list[int]] = {}
@@ -248,15 +253,19 @@ def fit(
         seen[0].update(words_of(texts[i]) & seen[1].keys())
     n0, n1 = int((y == 0).sum()), int((y == 1).sum())
 
+    rate = n1 / (n0 + n1)
+
     def tie(w: str) -> float:
-        a, b = seen[1][w] + 0.5, seen[0][w] + 0.5
-        c, d = n1 - seen[1][w] + 0.5, n0 - seen[0][w] + 0.5
-        return float(np.log(a * d / (b * c)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d))
+        """How surprising it is, in nats, that so many of the documents with a word are toxic; 0 if few are."""
+        k, n = seen[1][w], seen[0][w] + seen[1][w]
+        if k <= n * rate:
+            return 0.0
+        return k * np.log(k / (n * rate)) + ((n - k) * np.log((n - k) / (n * (1 - rate))) if k < n else 0.0)
 
     if not seen[1]:
         return ToxicModel(["toxic"], np.zeros(1), 0.0, (0.0, float(np.log(n1 / n0))))
     ties = sorted(((tie(w), w) for w in seen[1]), key=lambda x: (-x[0], x[1]))[:marked]
-    strong = [w for i, (z, w) in enumerate(ties) if z >= 3 or i < 3]
+    strong = [w for i, (z, w) in enumerate(ties) if z >= surprise or i < 3]
     common = sorted(seen[0], key=lambda w: (-seen[0][w], w))[:plain]
     del seen
     landmarks = list(dict.fromkeys(strong + common))
@@ -324,10 +333,14 @@ def _learned(
         worst = np.zeros(len(x), bool)
         order = np.lexsort((-margins, owner))
         worst[order[begin]] = True
-        use = (label < 0) | (worst & ((round_ < 3) | (margins > -0.5)))
-        if not (label[use] > 0).any():
+        # a toxic document keeps its worst sentence and all that look toxic by now; together they count as one
+        use = (label < 0) | (worst & ((round_ < 3) | (margins > -0.5))) | (margins > 0.5)
+        toxic = use & (label > 0)
+        if not toxic.any():
             break
-        w = _hinge(x[use], label[use], np.where(label[use] > 0, 1.0, balance), cost)
+        shared = np.bincount(owner[toxic], minlength=len(y))
+        balance = n1 / max(1, (label < 0).sum())
+        w = _hinge(x[use], label[use], np.where(label > 0, 1.0 / np.maximum(1, shared[owner]), balance)[use], cost)
     return ToxicModel(landmarks, root @ w[:-1], float(w[-1]), (1.0, 0.0), memo=100_000)
 
 
