@@ -137,16 +137,21 @@ class SubsequenceKernel:
         return out
 
 
-def _hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float, rounds: int = 12) -> np.ndarray:
-    """A linear SVM with squared hinge loss by Newton steps; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, keep = np.zeros(x.shape[1]), np.eye(x.shape[1])
+def _hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float, rounds: int = 12, block: int = 8192) -> np.ndarray:
+    """A linear SVM with squared hinge loss by Newton steps; the last weight is the bias. Rows are summed block by block."""
+    n = x.shape[1] + 1
+    w, keep = np.zeros(n), np.eye(n)
     keep[-1, -1] = 1e-3
     for _ in range(rounds):
-        short = 1 - y * (x @ w) > 0
-        part = x[short]
-        scaled = part * (cost * weight[short, None])
-        new = np.linalg.solve(keep + scaled.T @ part, scaled.T @ y[short])
+        short = np.flatnonzero(1 - y * (x @ w[:-1] + w[-1]) > 0)
+        left, right = keep.copy(), np.zeros(n)
+        for i in range(0, len(short), block):
+            at = short[i : i + block]
+            part = np.hstack([x[at], np.ones((len(at), 1))])
+            scaled = part * (cost * weight[at, None])
+            left += scaled.T @ part
+            right += scaled.T @ y[at]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-8):
             break
         w = new
@@ -320,8 +325,11 @@ def _learned(
         put(part)
     put(more)
     order = np.argsort(owner, kind="stable")
-    x, owner = np.array(rows)[order], np.array(owner)[order]
-    del rows
+    x = np.empty((len(rows), len(landmarks)), np.float32)
+    for i, k in enumerate(order.tolist()):
+        x[i] = rows[k]
+        rows[k] = None
+    owner = np.array(owner)[order]
     label = np.where(y[owner] == 1, 1.0, -1.0)
     size = np.bincount(owner, minlength=len(y))
     begin = np.concatenate(([0], np.cumsum(size)[:-1]))
