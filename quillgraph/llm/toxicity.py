@@ -175,7 +175,7 @@ class ToxicModel:
 
     UNIT = 1e6
 
-    def __init__(self, landmarks: list[str], beta: np.ndarray, bias: float, platt: tuple[float, float], memo: int = 200_000):
+    def __init__(self, landmarks: list[str], beta: np.ndarray, bias: float, platt: tuple[float, float], memo: int = 500_000):
         self.landmarks, self.beta, self.bias, self.platt, self.most = landmarks, beta, bias, platt, memo
         self._prepare()
 
@@ -197,8 +197,8 @@ class ToxicModel:
         parts = [fragments(t) for t in new]
         words = list(dict.fromkeys(w for p in parts for w in p))
         score: dict[str, int] = {}
-        for i in range(0, len(words), 4_000):  # kernels against all landmarks are held for so many words
-            block = words[i : i + 4_000]
+        for i in range(0, len(words), 20_000):  # kernels against all landmarks are held for so many words
+            block = words[i : i + 20_000]
             values = np.round(self.kernel.against(block) @ self.beta * self.UNIT).astype(np.int64)
             score.update(zip(block, values.tolist(), strict=True))
         for token, part in zip(new, parts, strict=True):
@@ -406,7 +406,7 @@ def score_toxicity(df: DataFrame, model: ToxicModel, id_col: str = "doc_id", tex
             for value in batch.column(2):
                 part.append(value.as_py() or "")
                 size += len(part[-1])
-                if size > 500_000:
+                if size > 1_500_000:
                     scores += model.scores(part)
                     part, size = [], 0
             scores += model.scores(part)
@@ -428,8 +428,8 @@ def keep_clean(df: DataFrame, model: ToxicModel, text_col: str = "text", thresho
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
                 scores = model.scores([t or "" for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
