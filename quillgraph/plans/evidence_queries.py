@@ -31,7 +31,8 @@ def _ranked(df, *columns):
 _ROUTES = f"""{rq._FULL}, vhits AS (
         SELECT q.vec_id AS query_id, v.vec_id AS item, list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
         FROM embeddings v, embeddings q JOIN benchmark ON item_id = q.vec_id),
-    r2 AS (SELECT query_id, item, score, source AS doc, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item) AS rank FROM vhits JOIN documents ON doc_id = item QUALIFY rank <= 240),
+    r1 AS (SELECT query_id, item, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item) AS rank FROM vhits QUALIFY rank <= 240),
+    r2 AS (SELECT query_id, item, score, source AS doc, rank FROM r1 JOIN documents ON doc_id = item),
     b AS (SELECT query_id, item, rank FROM full_text WHERE rank <= 5),
     votes AS (SELECT query_id, doc FROM (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0 / rank), 9) DESC, min(rank), doc) AS p FROM r2 GROUP BY query_id, doc) WHERE p <= 2),
     seeds AS (SELECT query_id, item, score, row_number() OVER (PARTITION BY query_id ORDER BY rank, item) AS seed FROM r2 JOIN votes USING (query_id, doc) QUALIFY seed <= 5),

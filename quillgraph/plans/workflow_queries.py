@@ -186,7 +186,7 @@ _HEAD = "left(coalesce(text, ''), 80)"
     f"""WITH {rq._LISTS}, i AS (SELECT item_id AS query_id, text AS q, list_distinct([t FOR t IN {TOKENS.format("text")} IF len(t) > 1 AND NOT list_contains({_STOPS}, t)]) AS w, {_any("text", text.TABLE_TERMS)} AS asks FROM benchmark),
     h AS (SELECT doc_id AS item, list_distinct([t FOR t IN {TOKENS.format(_HEAD)} IF len(t) > 1 AND NOT list_contains({_STOPS}, t)]) AS w, {_any(_HEAD, text.TABLE_TERMS)} AS shows FROM documents),
     f AS (SELECT query_id, item, sum(1.0 / (60 + rank)) AS base, min(rank) AS first, max(rank <= 1) AS required FROM lists WHERE rank <= 10 GROUP BY ALL),
-    s AS (SELECT f.*, base + CASE WHEN asks AND shows THEN 0.004 ELSE 0 END + 0.003 * CASE WHEN len(i.w) = 0 THEN 0 ELSE len(list_intersect(i.w, h.w)) / len(i.w)::DOUBLE END AS score FROM f JOIN i USING (query_id) JOIN h USING (item)),
+    s AS (SELECT f.*, base + CASE WHEN asks AND shows THEN 0.004 ELSE 0 END + 0.003 * CASE WHEN len(i.w) = 0 OR h.w IS NULL THEN 0 ELSE len(list_intersect(i.w, h.w)) / len(i.w)::DOUBLE END AS score FROM f JOIN i USING (query_id) LEFT JOIN h USING (item)),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first, item) AS rank FROM s),
     k AS (SELECT *, CASE WHEN rank <= 5 AND NOT required THEN 'spare' WHEN rank > 5 AND required THEN 'want' ELSE 'stay' END AS kind FROM r),
     n AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY CASE WHEN kind = 'spare' THEN round(score, 12) ELSE rank END, item) AS nth,
