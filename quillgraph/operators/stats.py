@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BLOCK = 8192  # units whose counts travel together
+DRAWN_AT_ONCE = 1 << 20  # numbers that a draw holds in memory
+
 
 def stable_seed(seed: int, label: str) -> int:
     """A 32-bit seed from a base seed and a label."""
@@ -42,13 +47,16 @@ def bootstrap_means(values: DataFrame, iterations: int = 1000, seed: int = 20260
 def bootstrap_exact(values: DataFrame, iterations: int = 10_000, seed: int = 20260716) -> DataFrame:
     """As ``bootstrap_means`` with NumPy's generator, for results that must repeat bit by bit.
 
-    A label's values are one small sample of a study and are drawn in one task.
+    A label's values are one small sample of a study and are drawn in one task,
+    some samples at a time; the generator goes on where it stopped.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, label = pdf.sort_values("unit")["value"].to_numpy(float), pdf["label"].iloc[0]
         rng = np.random.default_rng(stable_seed(seed, str(label)))
-        means = x[rng.integers(0, len(x), size=(iterations, len(x)))].mean(axis=1)
+        step = max(1, DRAWN_AT_ONCE // len(x))
+        parts = [x[rng.integers(0, len(x), size=(min(step, iterations - at), len(x)))].mean(axis=1) for at in range(0, iterations, step)]
+        means = np.concatenate(parts)
         low, high = np.quantile(means, [0.025, 0.975])
         return pd.DataFrame({"label": [label], "n": [len(x)], "mean": [round(x.mean(), 6)], "low": [round(low, 6)], "high": [round(high, 6)]})
 
@@ -58,18 +66,66 @@ def bootstrap_exact(values: DataFrame, iterations: int = 10_000, seed: int = 202
     )
 
 
+def _hash_long(numbers: np.ndarray, seed: int) -> np.ndarray:
+    """What Spark's ``xxhash64`` makes of longs after columns whose hash is ``seed``."""
+    one, two, three, four, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, by: x << np.uint64(by) | x >> np.uint64(64 - by)
+    first = np.uint64((seed + int(five) + 8) % (1 << 64))
+    x = turn(first ^ turn(numbers.astype(np.uint64) * two, 31) * one, 27) * one + four
+    x = (x ^ x >> np.uint64(33)) * two
+    x = (x ^ x >> np.uint64(29)) * three
+    return (x ^ x >> np.uint64(32)).view(np.int64)
+
+
+def _draw_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (label, n, b, h) to (label, b, block, counts): how often sample b draws each unit, a block of units a row."""
+    for batch in batches:
+        for row, (n, b, h) in enumerate(zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True)):
+            counts = np.zeros(n, np.int64)
+            for at in range(0, n, DRAWN_AT_ONCE):
+                counts += np.bincount(_hash_long(np.arange(at, min(n, at + DRAWN_AT_ONCE)), h) % n, minlength=n)
+            counts = counts.astype("<u1" if counts.max() < 256 else "<u8")
+            blocks = [counts[at : at + BLOCK].tobytes() for at in range(0, n, BLOCK)]
+            columns = [pa.repeat(batch.column(0)[row], len(blocks)), pa.array([b] * len(blocks), pa.int32()), pa.array(range(len(blocks)), pa.int64()), pa.array(blocks, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["label", "b", "block", "counts"])
+
+
+def _block_sums(drawn: pd.DataFrame, units: pd.DataFrame) -> pd.DataFrame:
+    """Of a block of units, what each sample draws: label, b, total (null where all are), rows."""
+    units = units.sort_values("nth")
+    total, known, rows, sums = units["total"].to_numpy(float), units["known"].to_numpy(bool), units["rows"].to_numpy(), []
+    for raw in drawn["counts"]:
+        counts = np.frombuffer(raw, f"<u{len(raw) // len(rows)}").astype(np.int64)
+        at = np.flatnonzero(counts)
+        some = at[known[at]]
+        sums.append((float(counts[some] @ total[some]) if len(some) else None, int(counts[at] @ rows[at])))
+    found = pd.DataFrame(sums, columns=["total", "rows"], dtype=object)
+    return pd.concat([drawn[["label", "b"]].reset_index(drop=True), found], axis=1)
+
+
 def cluster_bootstrap(values: DataFrame, iterations: int = 1000, seed: int = 20260716) -> DataFrame:
-    """Resamples whole clusters: rows ``label, unit, value`` with several values a unit, weighted by their counts."""
+    """Resamples whole clusters: rows ``label, unit, value`` with several values a unit, weighted by their counts.
+
+    Draws are as those of ``bootstrap_means``. They don't travel: each sample is
+    counted where it is drawn, and the counts, a byte a unit, meet the units by
+    blocks. A task holds the counts of one sample of a label.
+    """
     units = values.groupBy("label", "unit").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("rows"))
     by = Window.partitionBy("label").orderBy("unit")
-    numbered = units.withColumn("nth", F.row_number().over(by) - 1)
+    numbered = units.withColumn("nth", (F.row_number().over(by) - 1).cast("long"))
     sizes = numbered.groupBy("label").agg(F.count(F.lit(1)).alias("n"), (F.sum("total") / F.sum("rows")).alias("mean"))
+    kind = values.schema["label"].dataType.simpleString()
     draws = (
         sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-        .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-        .withColumn("nth", F.pmod(F.xxhash64(F.lit(seed), "label", "b", "i"), F.col("n")))
+        .select("label", "n", "b", F.xxhash64(F.lit(seed), "label", "b").alias("h"))
+        .repartition(4 * values.sparkSession.sparkContext.defaultParallelism, "label", "b")
+        .mapInArrow(_draw_counts, f"label {kind}, b int, block long, counts binary")
+    )
+    blocks = numbered.select(
+        "label", F.expr(f"nth div {BLOCK}").alias("block"), "nth", F.coalesce(F.col("total").cast("double"), F.lit(0.0)).alias("total"), F.col("total").isNotNull().alias("known"), "rows"
     )
-    samples = draws.join(numbered, ["label", "nth"]).groupBy("label", "b").agg((F.sum("total") / F.sum("rows")).alias("m"))
+    sums = draws.groupBy("label", "block").cogroup(blocks.groupBy("label", "block")).applyInPandas(_block_sums, f"label {kind}, b int, total double, rows long")
+    samples = sums.groupBy("label", "b").agg((F.sum("total") / F.sum("rows")).alias("m"))
     bands = samples.groupBy("label").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return sizes.join(bands, "label").select("label", "n", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 

@@ -64,6 +64,32 @@ def test_bootstraps(spark):
     assert stats.bootstrap_means(values, 50).collect() == stats.bootstrap_means(values.orderBy(F.desc("unit")), 50).collect()
 
 
+def test_cluster_draws_dont_travel(spark):
+    """The samples are those of the row-by-row join, over several blocks and with nulls; no row is made for a draw."""
+    unit = F.col("id") % 9000
+    values = spark.range(18_100).select(F.lit("x").alias("label"), unit.alias("unit"), F.when(unit % 7 != 0, F.sqrt("id")).alias("value"))
+    found = stats.cluster_bootstrap(values, 7, seed=3)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1  # the samples
+    groups = values.toPandas().groupby("unit")["value"].agg([lambda v: v.sum(min_count=1), "size"]).to_numpy()
+    draws = spark.range(9000).crossJoin(spark.range(7).select(F.col("id").cast("int").alias("b"))).select("b", F.pmod(F.xxhash64(F.lit(3), F.lit("x"), "b", "id"), F.lit(9000)).alias("nth")).toPandas()
+    means = [np.nansum(groups[d, 0]) / groups[d, 1].sum() for d in (x["nth"].to_numpy() for _, x in draws.groupby("b"))]
+    r = found.first()
+    assert r["n"] == 9000 and (r["low"], r["high"]) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), rel=1e-12)
+    nothing = stats.cluster_bootstrap(values.withColumn("value", F.lit(None).cast("double")), 2).first()
+    assert nothing["n"] == 9000 and nothing["mean"] is None and nothing["low"] is None
+
+
+def test_exact_draws_are_held_in_parts(spark):
+    """A label of many units holds some of its samples at a time, and draws the same."""
+    x = np.arange(2_000, dtype=float)
+    rng = np.random.default_rng(stats.stable_seed(20260716, "x"))
+    means = x[rng.integers(0, 2_000, size=(1_500, 2_000))].mean(axis=1)
+    values = spark.range(2_000).select(F.lit("x").alias("label"), F.col("id").alias("unit"), F.col("id").cast("double").alias("value"))
+    assert 1_500 * 2_000 > 2 * stats.DRAWN_AT_ONCE
+    r = stats.bootstrap_exact(values, 1_500).first()
+    assert (r["low"], r["high"]) == tuple(round(q, 6) for q in np.quantile(means, [0.025, 0.975]))
+
+
 def test_confusion_has_zeros(spark):
     df = spark.createDataFrame([("y", "y"), ("y", "n")], "a string, b string")
     assert {(r["a"], r["b"]): r["n"] for r in stats.confusion(df, ["y", "n"]).collect()} == {("y", "y"): 1, ("y", "n"): 1, ("n", "y"): 0, ("n", "n"): 0}
