@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from quillgraph.functions.text import TABLE_TERMS, has_phrase, jaccard, normalize, normalize_alias, significant_words
+from quillgraph.scratch import staged
 
 # --- text ---------------------------------------------------------------------
 
@@ -237,35 +240,107 @@ def valid_questions(questions: DataFrame, history: DataFrame, most_words: int =
     return good.join(asked, "__k", "left_anti").drop("__k")
 
 
+def _first_of_others(rows: list[tuple], most: int) -> list[tuple]:
+    """The fewest rows (doc, chunk) of an ordered list that hold, for any document, the first ``most`` rows of others."""
+    kept, of = [], {}
+    for doc, chunk in rows:
+        if len(kept) - max((n for d, n in of.items() if d != doc), default=0) < most:
+            kept.append((doc, chunk))
+            of[doc] = of.get(doc, 0) + 1
+    return kept
+
+
+def _swept(most: int):
+    """Rows of whole buckets, last place first and seeds before chunks, to what follows each seed and to each bucket's beginning.
+
+    Only the few rows that some document may need are held. Seeds have
+    ``times``, beginnings have none but the documents of their chunks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, ahead, types, out = None, [], None, []
+
+        def ready() -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.int64(), types["query_id"], types["doc_id"], pa.list_(types["chunk_id"]), pa.list_(types["doc_id"]))
+            columns = [pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names=["bucket", "times", "query_id", "doc_id", "found", "docs"])
+
+        def begins() -> tuple:
+            return here, None, None, None, [c for _, c in ahead], [d for d, _ in ahead]
+
+        for batch in batches:
+            types = {n: batch.schema.field(n).type for n in ("query_id", "doc_id", "chunk_id")}
+            for bucket, times, query, doc, chunk in zip(*[batch.column(n).to_pylist() for n in ("bucket", "times", "query_id", "doc_id", "chunk_id")], strict=True):
+                if bucket != here:
+                    if here is not None:
+                        out.append(begins())
+                    here, ahead = bucket, []
+                if times is None:
+                    ahead = _first_of_others([(doc, chunk), *ahead], most)
+                else:
+                    out.append((bucket, times, query, doc, [c for d, c in ahead if d != doc][:most], None))
+            if len(out) > 10_000:
+                yield ready()
+                out = []
+        if here is not None:
+            out.append(begins())
+            yield ready()
+
+    return run
+
+
+def _followers(own: DataFrame, chunks: DataFrame, order: Column, most: int) -> DataFrame:
+    """``query_id, chunk_id, times``: the ``most`` chunks of other documents that follow each seed in hash order.
+
+    Chunks are dealt into buckets by the first bits of their hash, and each
+    bucket is read once, backwards. A seed that has too few followers in its
+    bucket gets the rest from the beginnings of the next ones: ten rows or so a
+    bucket, which are all that meets in one place.
+    """
+    doc, chunk = chunks.schema["doc_id"].dataType, chunks.schema["chunk_id"].dataType
+    query = own.schema["query_id"].dataType
+    rows = chunks.select("chunk_id", "doc_id", F.lit(None).cast(query).alias("query_id"), F.lit(None).cast("long").alias("times"))
+    both = rows.unionByName(own.groupBy("chunk_id", "doc_id", "query_id").agg(F.sum("times").alias("times"))).where("chunk_id IS NOT NULL AND doc_id IS NOT NULL")
+    dealt = both.withColumn("bucket", F.conv(F.left(order, F.lit(3)), 16, 10).cast("int")).repartition("bucket").withColumn("h", F.unhex(order))
+    sweep = dealt.sortWithinPartitions("bucket", F.desc("h"), F.col("times").isNull()).select("bucket", "times", "query_id", "doc_id", "chunk_id")
+    name = lambda kind: kind.simpleString()
+    read = staged(sweep.mapInArrow(_swept(most), f"bucket int, times long, query_id {name(query)}, doc_id {name(doc)}, found array<{name(chunk)}>, docs array<{name(doc)}>"), "pool")
+    ahead, tails = [], []
+    for r in sorted(read.where("times IS NULL").select("bucket", "found", "docs").collect(), reverse=True):  # one row a bucket
+        tails.append((r["bucket"], ahead))
+        ahead = _first_of_others([*zip(r["docs"], r["found"], strict=True), *ahead], most)
+    later = own.sparkSession.createDataFrame(tails, f"bucket int, later array<struct<d: {name(doc)}, c: {name(chunk)}>>")
+    rest = F.transform(F.filter("later", lambda x: x["d"] != F.col("doc_id")), lambda x: x["c"])
+    found = read.where("times IS NOT NULL").join(F.broadcast(later), "bucket")
+    return found.select("query_id", "times", F.explode(F.slice(F.concat("found", rest), 1, most)).alias("chunk_id"))
+
+
 def confirmatory_pool(seeds: DataFrame, chunks: DataFrame, siblings: int = 8, distractors: int = 4, salt: str = "pool") -> DataFrame:
     """``query_id, chunk_id, kind``: a seed, its neighbours, siblings (same parent and level) and chunks of other documents, in hash order.
 
-    ``seeds``: ``query_id, chunk_id``; ``chunks``: ``chunk_id, doc_id, seq,
-    parent, level``. Distractors are the chunks of other documents that come
-    next in one hash order of all chunks.
+    ``seeds``: ``query_id, chunk_id``, or ``query_id`` and all columns of a
+    chunk; ``chunks``: ``chunk_id, doc_id, seq, parent, level``. Distractors are
+    the chunks of other documents that come next in one hash order of all
+    chunks. Repeated rows of seeds and chunks count as often as they are there.
     """
     order = F.sha2(F.concat(F.lit(salt + ":"), F.col("chunk_id").cast("string")), 256)
-    own = seeds.join(chunks, "chunk_id").select("query_id", F.col("chunk_id").alias("seed"), "doc_id", "seq", "parent", "level")
-    rows = chunks.select("chunk_id", "doc_id", "seq", "parent", "level", order.alias("h"))
-    seed = own.select("query_id", F.col("seed").alias("chunk_id"), F.lit(0).alias("p"), F.lit("seed").alias("kind"))
+    place = ["doc_id", "seq", "parent", "level"]
+    named = seeds if set(place) <= set(seeds.columns) else seeds.select("query_id", "chunk_id").join(chunks.select("chunk_id", *place), "chunk_id")
+    own = named.groupBy("query_id", "chunk_id", *place).agg(F.count(F.lit(1)).alias("times"))
+    rows = chunks.select("chunk_id", *place)
+
+    def first(found: DataFrame, most: int, p: int, kind: str) -> DataFrame:
+        """The first ``most`` rows of each query in hash order; ``times`` says how many rows one stands for."""
+        before = F.sum("times").over(Window.partitionBy("query_id").orderBy(order, "chunk_id").rowsBetween(Window.unboundedPreceding, -1))
+        once = found.groupBy("query_id", "chunk_id").agg(F.sum("times").alias("times")).withColumn("before", F.coalesce(before, F.lit(0)))
+        return once.where(F.col("before") < most).select("query_id", "chunk_id", F.lit(p).alias("p"), F.lit(kind).alias("kind"))
+
+    seed = own.select("query_id", "chunk_id", F.lit(0).alias("p"), F.lit("seed").alias("kind"))
     at = own.select("query_id", "doc_id", F.explode(F.array(F.col("seq") - 1, F.col("seq") + 1)).alias("seq"))
     near = at.join(rows, ["doc_id", "seq"]).select("query_id", "chunk_id", F.lit(1).alias("p"), F.lit("neighbour").alias("kind"))
-    same = own.select("query_id", "seed", "doc_id", "parent", "level").join(rows, ["doc_id", "parent", "level"]).where("chunk_id != seed")
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("h", "chunk_id"))
-    kin = same.withColumn("n", nth).where(F.col("n") <= siblings).select("query_id", "chunk_id", F.lit(2).alias("p"), F.lit("sibling").alias("kind"))
-    # the chunks that follow the seed in the hash order: a position lookup, no pairing of all with all
-    bucket = F.conv(F.left("h", F.lit(4)), 16, 10).cast("int")
-    placed = rows.withColumn("bucket", bucket)
-    wanted = own.join(placed.select(F.col("chunk_id").alias("seed"), F.col("h").alias("from"), F.col("bucket").alias("b")), "seed")
-    found = None
-    for reach in (256, 4096, 65536):  # widened until everyone has enough
-        ahead = wanted.withColumn("bucket", F.explode(F.sequence(F.col("b"), F.least(F.col("b") + reach - 1, F.lit(65535)))))
-        other = placed.select("bucket", "h", "chunk_id", F.col("doc_id").alias("other_doc"))
-        hits = ahead.join(other, "bucket").where((F.col("h") > F.col("from")) & (F.col("other_doc") != F.col("doc_id")))
-        found = hits.withColumn("n", nth).where(F.col("n") <= distractors)
-        if reach == 65536 or found.groupBy("query_id").count().where(F.col("count") < distractors).isEmpty() and found.select("query_id").distinct().count() == seeds.count():
-            break
-    far = found.select("query_id", "chunk_id", F.lit(3).alias("p"), F.lit("distractor").alias("kind"))
+    same = own.select("query_id", F.col("chunk_id").alias("seed"), "doc_id", "parent", "level", "times").join(rows, ["doc_id", "parent", "level"]).where("chunk_id != seed")
+    kin = first(same, siblings, 2, "sibling")
+    far = first(_followers(own, rows.select("chunk_id", "doc_id"), order, distractors), distractors, 3, "distractor")
     both = seed.unionByName(near).unionByName(kin).unionByName(far)
     return both.groupBy("query_id", "chunk_id").agg(F.min_by("kind", "p").alias("kind"))
 

@@ -694,8 +694,7 @@ def valid_questions(spark, sf_dir):
 def confirmatory_pool(spark, sf_dir):
     """17.6: seeds with their neighbours, siblings and distractors."""
     turns = _turns(spark, sf_dir)
-    seeds = turns.where("seq = 2").select(F.col("doc_id").alias("query_id"), "chunk_id")
-    return records.confirmatory_pool(seeds, turns)
+    return records.confirmatory_pool(turns.where("seq = 2").withColumn("query_id", F.col("doc_id")), turns)
 
 
 @query("SELECT DISTINCT query_id, chunk_id FROM (SELECT item_id AS query_id, unnest([item_id, item_id * 2, item_id + 1000000]) AS chunk_id FROM benchmark) WHERE chunk_id IN (SELECT doc_id FROM documents)")

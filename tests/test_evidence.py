@@ -2,10 +2,14 @@
 
 import random
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.operators import dense, evidence, fusion, records
+from quillgraph.plans import evidence_queries  # noqa: F401
+from quillgraph.plans.registry import ORACLE_SQL, QUERIES
 from quillgraph.scratch import released, spread, staged
 
 
@@ -103,3 +107,27 @@ def test_staged_tables_and_spreading(spark):
     released(kept)
     with pytest.raises(Exception, match="(?i)exist|not found"):
         kept.collect()
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_pool_with_repeats_and_a_large_document(spark, tmp_path, seed):
+    """One document has most chunks, rows repeat, ids of two documents meet, documents are null."""
+    rng = random.Random(seed)
+    rows = [(1, t) for t in range(300)] + [(c, t) for c in range(2, 9) for t in range(4)] + [(5, 1002), (4, 2), (4, 2), (4, 3), (7, 2), (None, 2), (None, 3)]
+    rows += [rng.choice(rows[:300]) for _ in range(30)]
+    table = pd.DataFrame([(c, t, "user" if t % 2 == 0 else "assistant", "x") for c, t in rows], columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64"})
+    table.to_parquet(tmp_path / "conversations.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet'")
+        want = db.execute(ORACLE_SQL["confirmatory_pool"]).fetchall()
+    got = QUERIES["confirmatory_pool"](spark, str(tmp_path)).select("query_id", "chunk_id", "kind").collect()
+    key = lambda r: tuple((v is None, v or 0) for v in r[:2])
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def test_pool_meets_few_rows_a_seed(spark):
+    """What is read for distractors is a row a seed and a row a bucket, not a part of all chunks for each seed."""
+    chunks = spark.range(60_000).select(F.col("id").alias("chunk_id"), (F.col("id") % 6000).alias("doc_id"), (F.col("id") % 6000).alias("parent"), F.lit(0).alias("seq"), F.lit(1).alias("level"))
+    pool = records.confirmatory_pool(chunks.where("chunk_id < 6000").select(F.col("doc_id").alias("query_id"), "chunk_id"), chunks, siblings=2)
+    plan = pool._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and pool.where("kind = 'distractor'").groupBy("query_id").count().where("count = 4").count() > 5_990
