@@ -19,17 +19,32 @@ def _bodies(df, key, field, record):
     return grouped.select("key", F.to_json(F.struct(field)).cast("binary").alias("body"))
 
 
+#: records of a saved page at most, as the service gives them
+PAGE = 1000
+
+
+def _pages(df, key, field, columns, record):
+    """Saved answers in pages of ``PAGE`` records at most, each made of neighbouring rows; ``record`` of a row with ``columns``.
+
+    Rows are gathered as they are and become records in their page, so the
+    records' texts are never shuffled and a page never grows with the table.
+    """
+    rows = df.select(key.alias("key"), F.struct(*columns).alias("r")).withColumn("page", F.expr(f"monotonically_increasing_id() div {PAGE}"))
+    grouped = rows.groupBy("key", "page").agg(F.collect_list("r").alias("r"))
+    return grouped.select("key", F.to_json(F.struct(F.transform("r", record).alias(field))).cast("binary").alias("body"))
+
+
 @query(
     """SELECT o_orderpriority AS key, 'D-' || o_orderkey AS recall_number, strftime(o_orderdate, '%Y%m%d') AS report_date, 'Firm ' || o_custkey AS recalling_firm, 500 AS reason_chars,
     row_number() OVER (PARTITION BY o_orderpriority ORDER BY strftime(o_orderdate, '%Y%m%d') DESC, 'D-' || o_orderkey) AS place FROM orders QUALIFY place <= 10"""
 )
 def enforcement_reports(spark, sf_dir):
     """1.16: the ten newest recalls of each search, out of saved answers."""
-    record = F.struct(
-        F.concat(F.lit("D-"), F.col("o_orderkey").cast("string")).alias("recall_number"), F.lit("p").alias("product_description"), F.repeat(F.lit("reason "), F.lit(100)).alias("reason_for_recall"),
-        F.date_format("o_orderdate", "yyyyMMdd").alias("report_date"), F.concat(F.lit("Firm "), F.col("o_custkey").cast("string")).alias("recalling_firm"),
+    record = lambda r: F.struct(
+        F.concat(F.lit("D-"), r["o_orderkey"].cast("string")).alias("recall_number"), F.lit("p").alias("product_description"), F.repeat(F.lit("reason "), F.lit(100)).alias("reason_for_recall"),
+        F.date_format(r["o_orderdate"], "yyyyMMdd").alias("report_date"), F.concat(F.lit("Firm "), r["o_custkey"].cast("string")).alias("recalling_firm"),
     )
-    pages = _bodies(table(spark, sf_dir, "orders"), F.col("o_orderpriority"), "results", record)
+    pages = _pages(table(spark, sf_dir, "orders"), F.col("o_orderpriority"), "results", ["o_orderkey", "o_orderdate", "o_custkey"], record)
     found = services.enforcement_reports(pages)
     return found.select("key", "recall_number", "report_date", "recalling_firm", F.length("reason_for_recall").alias("reason_chars"), F.col("place").cast("long").alias("place"))
 

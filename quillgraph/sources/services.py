@@ -23,9 +23,8 @@ def enforcement_reports(pages: DataFrame, limit: int = 10) -> DataFrame:
     rows = _results(pages, "recall_number: string, product_description: string, reason_for_recall: string, report_date: string, recalling_firm: string")
     order = Window.partitionBy("key").orderBy(F.col("report_date").desc_nulls_last(), "recall_number")
     cut = lambda c: F.left(F.coalesce(c, F.lit("")), F.lit(TEXT_LIMIT)).alias(c)
-    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select(
-        "key", "recall_number", cut("product_description"), cut("reason_for_recall"), "report_date", "recalling_firm", "place"
-    )
+    kept = rows.select("key", "recall_number", cut("product_description"), cut("reason_for_recall"), "report_date", "recalling_firm")
+    return kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
 
 def adverse_events(pages: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from quillgraph.operators import graph_sources as gs
-from quillgraph.sources import readers, sinks
+from quillgraph.plans import service_queries
+from quillgraph.sources import readers, services, sinks
 
 
 def test_shortages(spark):
@@ -60,3 +63,13 @@ def test_recalls_and_tables(spark):
     rules = spark.createDataFrame([(None, "ich_q7"), ("USA", "cgmp")], "country string, regulation string")
     makers = spark.createDataFrame([("m1", "USA"), ("m2", "India")], "id string, country string")
     assert gs.regulation_edges(makers, rules).count() == 3
+
+
+def test_saved_pages_stay_small(spark, monkeypatch):
+    """A search with many recalls has many pages, none of more records than a service gives; no record is lost."""
+    seen, made = [], services.enforcement_reports
+    monkeypatch.setattr(services, "enforcement_reports", lambda pages: seen.append(pages) or made(pages))
+    assert service_queries.enforcement_reports(spark, "/root/testdata/sf0.01").count() == 50
+    sizes = seen[0].select("key", F.size(F.from_json(F.col("body").cast("string"), "results array<struct<recall_number: string>>")["results"]).alias("n")).toPandas()
+    assert sizes["n"].max() <= 1000 and sizes.groupby("key")["n"].sum().max() > 1000
+    assert sizes["n"].sum() == spark.read.parquet("/root/testdata/sf0.01/orders.parquet").count()
