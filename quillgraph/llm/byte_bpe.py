@@ -21,6 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+NO_PAIR = 1 << 40  # above every rank
+LONG = 48  # bytes from which a pre-token is merged on its own
+AT_ONCE = 1_000_000  # characters whose words are merged together
+
+
 class PerfectHash:
     """Minimal perfect hash of byte strings: n keys in n slots, by displaced buckets.
 
@@ -97,6 +102,47 @@ class _Memo(dict):
         return ids
 
 
+    def put(self, piece: str, ids: bytes) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
+
+
+class PairTable:
+    """Ranks of pairs of ids by open addressing in NumPy arrays, for many pairs at once."""
+
+    def __init__(self, pairs: dict[int, int]) -> None:
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        keys, ranks = (np.fromiter(x, np.int64, len(pairs)) for x in (pairs.keys(), pairs.values()))
+        self.keys, self.ranks = np.full(1 << self.bits, -1), np.full(1 << self.bits, NO_PAIR)
+        at = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] < 0)
+            self.keys[at[free]] = keys[free]  # of those that want one slot the last gets it
+            won = self.keys[at] == keys
+            self.ranks[at[won]] = ranks[won]
+            keys, ranks, at = keys[~won], ranks[~won], (at[~won] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or ``NO_PAIR``."""
+        keys = left << 32 | right
+        at = self._slot(keys)
+        found, there = self.ranks[at], self.keys[at]
+        todo = np.flatnonzero((there != keys) & (there >= 0))
+        found[there != keys] = NO_PAIR
+        while len(todo):
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[at[todo]]
+            hit = there == keys[todo]
+            found[todo[hit]] = self.ranks[at[todo[hit]]]
+            todo = todo[~hit & (there >= 0)]
+        return found
+
+
 class ByteBpe:
     """A byte-level BPE codec for a rank file and a pre-token pattern."""
 
@@ -105,7 +151,7 @@ class ByteBpe:
         self.tokens = {rank: token for rank, token in rows}
         self.ranks = [rank for rank, _ in rows]
         self.hash = PerfectHash([token for _, token in rows])
-        by_token = {token: rank for rank, token in rows}
+        by_token = self.by_token = {token: rank for rank, token in rows}
         self.of_byte = [by_token.get(bytes([b]), -1) for b in range(256)]
         #: (left id, right id) to the id of their join
         self.pairs = {
@@ -128,9 +174,10 @@ class ByteBpe:
         #: by first and second byte: the rank of the pair, or -1
         self.of_bytes = [[pair(a << 32 | b, -1) for b in of_byte] for a in of_byte]
         self.after, self.before = list(range(1, 257)), list(range(-1, 255))
+        self.table = None
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("pattern", "runs", "plain", "spaced", "decimal", "of_bytes", "after", "before")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("pattern", "runs", "plain", "spaced", "decimal", "of_bytes", "after", "before", "table")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
@@ -207,6 +254,85 @@ class ByteBpe:
         first, *rest = text.split(" ")
         return self.plain[first] + b"".join(map(self.spaced.__getitem__, rest))
 
+    def _merge_all(self, length: int, raws: list[bytes]) -> Iterator[tuple[list[int], int, bytes]]:
+        """Pre-tokens of one length, merged side by side: (places in the list, ids each, their ids packed).
+
+        Every round joins in each the lowest-ranked pair, leftmost first; those
+        without any are done, so all others have the same number of ids left.
+        """
+        if self.table is None:
+            self.table, self.byte_ids = PairTable(self.pairs), np.array(self.of_byte, np.int64)
+        ids = self.byte_ids[np.frombuffer(b"".join(raws), np.uint8).reshape(len(raws), length)]
+        if (ids < 0).any():
+            raise ValueError("the vocabulary lacks a byte")
+        find, places = self.table.find, np.arange(len(raws))
+        ranks = find(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(raws), length - 1)
+        for n in range(length, 0, -1):
+            if n > 1:
+                at = ranks.argmin(axis=1)
+                best = ranks[np.arange(len(ids)), at]
+                open_ = best < NO_PAIR
+            else:
+                open_ = np.zeros(len(ids), bool)
+            if not open_.all():
+                yield places[~open_].tolist(), n, ids[~open_].astype("<u4").tobytes()
+                if not open_.any():
+                    return
+                ids, ranks, places, at, best = ids[open_], ranks[open_], places[open_], at[open_], best[open_]
+            row = np.arange(len(ids))
+            ids[row, at] = best
+            keep = np.ones(ids.shape, bool)
+            keep[row, at + 1] = False
+            ids = ids[keep].reshape(len(row), n - 1)
+            keep = np.ones(ranks.shape, bool)
+            keep[row, at] = False
+            ranks = ranks[keep].reshape(len(row), n - 2)
+            for shift in (0, 1):  # the pairs that the new id begins and ends
+                k = np.flatnonzero(at + 1 < n - 1 if shift == 0 else at > 0)
+                a = at[k] - shift
+                ranks[k, a] = find(ids[k, a], ids[k, a + 1])
+
+    def _learn(self, parts: list[list[str]]) -> None:
+        """Fills the memo with the words, without a mark at the end, that it lacks; longer ones are left to ``merge``."""
+        spaced, tokens = self.spaced, self.by_token
+        old, words = spaced.old, set()
+        for word in set().union(*parts):
+            if word not in spaced and word not in old:
+                if word.isalpha():
+                    words.add(word)
+                elif word[:-1].isalpha() and word[-1] in ".,":
+                    words.add(word[:-1])
+        groups: dict[int, tuple[list[str], list[bytes]]] = {}
+        for word in words:
+            if word in spaced or word in old:
+                continue
+            raw = (" " + word).encode()
+            rank = tokens.get(raw)
+            if rank is not None:
+                spaced.put(word, array("I", (rank,)).tobytes())
+            elif len(raw) < LONG:
+                group = groups.setdefault(len(raw), ([], []))
+                group[0].append(word)
+                group[1].append(raw)
+        for length, (members, raws) in groups.items():
+            for places, n, packed in self._merge_all(length, raws):
+                for i, place in enumerate(places):
+                    spaced.put(members[place], packed[4 * n * i : 4 * n * (i + 1)])
+
+    def packed_all(self, texts: list[str]) -> Iterator[bytes]:
+        """``packed`` of each text; new words of many texts are merged together."""
+        done = 0
+        while done < len(texts):
+            stop, held = done, 0
+            while stop < len(texts) and held < AT_ONCE:
+                held += len(texts[stop]) + 1
+                stop += 1
+            parts = [None if self.runs.search(t) else t.split(" ") for t in texts[done:stop]]
+            self._learn([p[1:] for p in parts if p is not None])
+            for text, part in zip(texts[done:stop], parts, strict=True):
+                yield self.packed(text) if part is None else self.plain[part[0]] + b"".join(map(self.spaced.__getitem__, part[1:]))
+            done = stop
+
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, without special tokens."""
         return np.frombuffer(self.packed(text), np.uint32).tolist()

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.scratch import released, remove_at_exit, shared_root, spread, staged
+from quillgraph.scratch import released, remove_at_exit, shared_root, shuffles_removed, spread, staged
 
-__all__ = ["WORD", "hash_buckets", "released", "remove_at_exit", "running_total", "shared_root", "spread", "staged"]
+__all__ = ["WORD", "hash_buckets", "released", "remove_at_exit", "running_total", "shared_root", "shuffles_removed", "spread", "staged"]
 
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

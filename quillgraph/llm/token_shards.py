@@ -17,6 +17,7 @@ import struct
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.byte_bpe import ByteBpe
-from quillgraph.llm.common import remove_at_exit, shared_root, staged
+from quillgraph.llm.common import remove_at_exit, shared_root, shuffles_removed, staged
 from quillgraph.llm.hashing import mix
 
 MAGIC = b"QGSHARD1"
@@ -64,7 +65,13 @@ class _Narrow:
     width: int
 
     def __call__(self, text: str) -> bytes:
-        return np.frombuffer(self.bpe.packed(text), "<u4").astype(f"<u{self.width}").tobytes()
+        return self.narrow(self.bpe.packed(text))
+
+    def narrow(self, packed: bytes) -> bytes:
+        return np.frombuffer(packed, "<u4").astype(f"<u{self.width}").tobytes()
+
+    def many(self, texts: list[str]) -> Iterator[bytes]:
+        return map(self.narrow, self.bpe.packed_all(texts))
 
 
 def bpe_ids(bpe: ByteBpe) -> Ids:
@@ -121,10 +128,12 @@ def _encoded(ids: Broadcast):
         for batch in batches:
             files, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             segments, starts, counts, data = [], [], [], []
-            for name, row, value in zip(files, rows, batch.column(2), strict=True):
+            many = getattr(made.encode, "many", None)  # the codec may have a faster way for many texts
+            encoded = (many or partial(map, made.encode))(batch.column(2).to_pylist())
+            for name, row, value in zip(files, rows, encoded, strict=True):
                 if name != file or row != following:
                     file, since, place = name, row, 0
-                raw = made.encode(value.as_py()) + made.end
+                raw = value + made.end
                 n = len(raw) // made.width
                 segments.append(since)
                 starts.append(place)
@@ -137,8 +146,8 @@ def _encoded(ids: Broadcast):
     return run
 
 
-def _pieces(width: int, length: int, total: int, key: int, per_shard: int):
-    """Rows (start, ids) to the pieces of their sequences."""
+def _pieces(width: int, length: int, total: int, key: int, per_shard: int, first_shard: int, end_shard: int):
+    """Rows (start, ids) to the pieces of their sequences that belong into a range of shards."""
     size = length * width
     schema = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("at", pa.int32()), ("sequence", pa.int64()), ("data", pa.binary())])
 
@@ -149,7 +158,9 @@ def _pieces(width: int, length: int, total: int, key: int, per_shard: int):
             def ready() -> pa.RecordBatch:
                 numbers = np.array(sequence, np.int64)
                 slot = feistel(numbers, total, key)
-                columns = [slot // per_shard, slot, begin, numbers, parts]
+                shard = slot // per_shard
+                here = np.flatnonzero((shard >= first_shard) & (shard < end_shard))
+                columns = [shard[here], slot[here], np.array(begin)[here], numbers[here], [parts[i] for i in here.tolist()]]
                 return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
             for start, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -238,6 +249,7 @@ def write_shards(
     key: int = 20_26,
     most_tasks: int = 20_000,
     most_sent: int = 200_000,
+    rounds: int = 3,
 ) -> DataFrame:
     """Writes all texts as shards; one row per sequence: slot, sequence, shard, offset, n_ids, sha256.
 
@@ -251,8 +263,10 @@ def write_shards(
     and ``sha256`` leave out. An empty table writes nothing. Other columns are
     not read.
 
-    A task writes a range of consecutive shards, one shard where there are at
-    most ``most_tasks``. A task that runs again writes the same bytes under the
+    The ids are shuffled and the shards written in ``rounds``, a range of shards
+    each, so that a part of the ids at a time is on disk a third time. In a
+    round, a task writes a range of consecutive shards, one shard where there
+    are at most ``most_tasks``. A task that runs again writes the same bytes under the
     same name; a finished shard is never seen half written, and what lost tasks
     left is removed. The shards are written by this call, once; the result is a
     table of the shared folder. ``root`` is a folder that all executors share;
@@ -263,7 +277,7 @@ def write_shards(
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(ids)  # its size is the vocabulary's
     texts = df.withColumns({"id": F.col(id_col), "text": F.coalesce(F.col(text_col), F.lit(""))}).select("id", "text")
-    encoded = staged(_numbered(texts).mapInArrow(_encoded(shared), "file string, since long, start long, n long, ids binary"), "shard-ids")
+    encoded = staged(_numbered(texts).mapInArrow(_encoded(shared), "file string, since long, start long, n long, ids binary"), "shard-ids", "zstd")
     # one row per segment, that is, per file and split of the input
     before = Window.orderBy("file", "since").rowsBetween(Window.unboundedPreceding, -1)
     bases = staged(
@@ -284,18 +298,24 @@ def write_shards(
     store, path = _open(folder)
     store.create_dir(path)
     shards = max(1, -(-total // per_shard))
-    tasks = min(shards, most_tasks)
-    manifest = staged(
-        placed.select("start", "ids")
-        .mapInArrow(_pieces(ids.width, length, max(1, total), key, per_shard), "shard long, slot long, at int, sequence long, data binary")
-        .repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {shards} as int)"))
-        .sortWithinPartitions("slot", "at")
-        .mapInArrow(
-            _writer(folder, ids.width, length, total, per_shard, ids.end),
-            "slot long, sequence long, shard long, offset long, n_ids int, sha256 string",
-        ),
-        "shard-manifest",
-    )
+    rounds = max(1, min(rounds, shards))
+    parts = []
+    for r in range(rounds):
+        low, high = r * shards // rounds, (r + 1) * shards // rounds
+        tasks = min(high - low, most_tasks)
+        with shuffles_removed(spark):
+            part = (
+                placed.select("start", "ids")
+                .mapInArrow(_pieces(ids.width, length, max(1, total), key, per_shard, low, high), "shard long, slot long, at int, sequence long, data binary")
+                .repartitionById(tasks, F.expr(f"cast((shard - {low}) * {tasks} div {high - low} as int)"))
+                .sortWithinPartitions("slot", "at")
+                .mapInArrow(
+                    _writer(folder, ids.width, length, total, per_shard, ids.end),
+                    "slot long, sequence long, shard long, offset long, n_ids int, sha256 string",
+                )
+            )
+            parts.append(staged(part, "shard-manifest"))
+    manifest = reduce(DataFrame.unionByName, parts)
     for f in store.get_file_info(pa.fs.FileSelector(path)):
         if os.path.basename(f.path).startswith(".shard-"):
             store.delete_file(f.path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,15 +55,15 @@ def _guarded(spark: SparkSession, path: str) -> None:
         del error
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
+def staged(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, compressed as the session does or by ``codec``, and read it again.
 
     The written table cuts the lineage: a lost executor costs the tasks of the
     current job, never the jobs that led here.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,6 +73,21 @@ def released(df: DataFrame) -> None:
         remove_path(df.sparkSession, name.rpartition("/")[0])
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query written in here go when it ends, not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores.
 

@@ -2,11 +2,12 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 
-from quillgraph.llm.byte_bpe import PerfectHash, codec, decode_documents, encode_documents, round_trip
+from quillgraph.llm.byte_bpe import NO_PAIR, ByteBpe, PairTable, PerfectHash, codec, decode_documents, encode_documents, round_trip
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -40,6 +41,31 @@ def test_same_ids_as_the_library(bpe, peer):
         assert bpe.decode(ids) == text.encode()
 
 
+def test_words_merged_side_by_side(bpe, peer):
+    """Many texts at once give the ids of the library, without merging short words one by one."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéßж中") for _ in range(rng.randrange(1, 30))) + rng.choice(["", "", ".", ",", "!", "7"])
+    texts = [rng.choice([" ", " ", "  ", " \n"]).join(word() for _ in range(rng.randrange(40))) for _ in range(300)] + ["", " ", "a", "x " + "y" * 3000, "of the of"]
+    for memo in (700_000, 20):
+        own = ByteBpe(open(PATH, "rb").read(), public_tokenizers.PATTERN, memo_entries=memo)
+        assert list(own.packed_all(texts)) == [bpe.packed(t) for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.packed_all(texts)] == [peer.encode_ordinary(t) for t in texts]
+    plain = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 30))) for _ in range(500))]
+    own, merged = codec(PATH, public_tokenizers.PATTERN), []
+    own.merge = lambda raw, merge=own.merge: merged.append(raw) or merge(raw)
+    list(own.packed_all(plain))
+    assert len(merged) <= 1  # the first word
+
+
+def test_pair_table_finds_all_and_nothing_else():
+    rng = random.Random(7)
+    pairs = {rng.randrange(60) << 32 | rng.randrange(60): i for i in range(2000)}
+    table = PairTable(pairs)
+    left, right = np.divmod(np.arange(3600), 60)
+    assert table.find(left, right).tolist() == [pairs.get(a << 32 | b, NO_PAIR) for a, b in zip(left.tolist(), right.tolist(), strict=True)]
+    assert PairTable({}).find(left, right).tolist() == [NO_PAIR] * 3600
+
+
 def test_long_pre_tokens(bpe, peer):
     for text in ("a" * 5000, "abc" * 700, "\n" * 400, " " * 999 + "x", "ünï" * 300):
         assert bpe.encode(text) == peer.encode_ordinary(text)

@@ -86,6 +86,14 @@ def test_files_give_one_order_at_any_split_size(spark, docs, tmp_path):
     assert made["many"] > made["one"] and files(tmp_path / "many") == files(tmp_path / "one")
 
 
+def test_rounds_change_nothing(spark, docs, tmp_path):
+    """Rounds write ranges of shards; shards and manifest stay the same, and the session's settings too."""
+    made = {r: sorted(write_shards(docs, str(tmp_path / str(r)), ids=tokens(), length=64, per_shard=7, rounds=r).collect()) for r in (1, 4, 10_000)}
+    assert made[1] == made[4] == made[10_000] and made[1][-1]["shard"] > 4
+    assert files(tmp_path / "1") == files(tmp_path / "4") == files(tmp_path / "10000")
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+
+
 def test_edge_cases(spark, no_docs, tmp_path):
     assert write_shards(no_docs, str(tmp_path / "none")).count() == 0
     assert list(read_shards(str(tmp_path / "none"))) == []
