@@ -3,6 +3,10 @@
 A pre-token that is a vocabulary entry as a whole is found by a minimal perfect
 hash; any other is merged from its bytes, with a heap of candidate pairs over a
 linked list. Results of both tiers are kept in a bounded memo of text pieces.
+
+Many texts at once are encoded by columns: pre-tokens are cut by the kinds of
+neighbouring characters, each different one is resolved once, and new ones of
+one length are merged side by side.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,7 +28,11 @@ from pyspark.sql import functions as F
 
 NO_PAIR = 1 << 40  # above every rank
 LONG = 48  # bytes from which a pre-token is merged on its own
-AT_ONCE = 1_000_000  # characters whose words are merged together
+AT_ONCE = 8_000_000  # characters whose pre-tokens are resolved together
+SIDE_BY_SIDE = 10_000  # pre-tokens of one length that are merged together
+#: the pattern whose pre-tokens ``_begins`` finds
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+OTHER, LETTER, NUMBER, SPACE = range(4)
 
 
 class PerfectHash:
@@ -102,11 +111,48 @@ class _Memo(dict):
         return ids
 
 
-    def put(self, piece: str, ids: bytes) -> None:
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = ids
+def _kinds() -> np.ndarray:
+    """By code point: letter, number, white space or other, as the pattern's library has them."""
+    every = "".join(map(chr, range(0x110000)))
+    kinds = np.full(len(every), OTHER, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for m in regex.finditer(pattern, every):
+            kinds[m.start() : m.end()] = kind
+    return kinds
+
+
+def _begins(points: np.ndarray, first: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Where the pre-tokens of ``SPLIT`` begin, in the code points of texts one after the other.
+
+    ``first`` marks where a text begins, and the end of the last one. Both
+    arrays go on for two places beyond that end, so that no text is without
+    followers to look at.
+    """
+    n = len(points) - 2
+    kind = kinds[points]
+    begin = np.empty(n + 2, bool)
+    begin[0] = True
+    begin[1:] = (kind[1:] != kind[:-1]) & (points[:-1] != 32)  # a space goes with what follows
+    begin |= first
+    space = kind == SPACE  # the last of a run stands apart from it, unless it ends the text
+    last = np.flatnonzero(space[:-2] & space[1:-1] & ~space[2:]) + 1
+    begin[last[~first[last + 1]]] = True
+    # an apostrophe after others or a space belongs to them, so it doesn't begin a contraction
+    at = np.flatnonzero(points[:n] == ord("'"))
+    at = at[begin[at] & ~first[at + 1]]
+    one = at[np.isin(points[at + 1], [ord(c) for c in "stmd"])]
+    two = at[~first[at + 2]]
+    a, b = points[two + 1], points[two + 2]
+    two = two[((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))]
+    for places, length in ((one, 2), (two, 3)):
+        begin[places + 1] = False
+        begin[places + length] = True
+    return np.flatnonzero(begin[:n])
+
+
+def _binary(ends: np.ndarray, data: bytes | np.ndarray) -> pa.Array:
+    """Pieces of ``data``, one after the other, as an Arrow column."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
 
 
 class PairTable:
@@ -174,10 +220,11 @@ class ByteBpe:
         #: by first and second byte: the rank of the pair, or -1
         self.of_bytes = [[pair(a << 32 | b, -1) for b in of_byte] for a in of_byte]
         self.after, self.before = list(range(1, 257)), list(range(-1, 255))
-        self.table = None
+        self.table = self.kinds = self.entries = None
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("pattern", "runs", "plain", "spaced", "decimal", "of_bytes", "after", "before", "table")}
+        made = ("pattern", "runs", "plain", "spaced", "decimal", "of_bytes", "after", "before", "table", "byte_ids", "kinds", "entries")
+        return {k: v for k, v in self.__dict__.items() if k not in made}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
@@ -254,18 +301,18 @@ class ByteBpe:
         first, *rest = text.split(" ")
         return self.plain[first] + b"".join(map(self.spaced.__getitem__, rest))
 
-    def _merge_all(self, length: int, raws: list[bytes]) -> Iterator[tuple[list[int], int, bytes]]:
-        """Pre-tokens of one length, merged side by side: (places in the list, ids each, their ids packed).
+    def _merge_all(self, raws: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pre-tokens of one length, a row of bytes each, merged side by side: (places of rows, their ids).
 
         Every round joins in each the lowest-ranked pair, leftmost first; those
         without any are done, so all others have the same number of ids left.
         """
         if self.table is None:
             self.table, self.byte_ids = PairTable(self.pairs), np.array(self.of_byte, np.int64)
-        ids = self.byte_ids[np.frombuffer(b"".join(raws), np.uint8).reshape(len(raws), length)]
+        ids = self.byte_ids[raws]
         if (ids < 0).any():
             raise ValueError("the vocabulary lacks a byte")
-        find, places = self.table.find, np.arange(len(raws))
+        find, places, length = self.table.find, np.arange(len(raws)), raws.shape[1]
         ranks = find(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(raws), length - 1)
         for n in range(length, 0, -1):
             if n > 1:
@@ -275,7 +322,7 @@ class ByteBpe:
             else:
                 open_ = np.zeros(len(ids), bool)
             if not open_.all():
-                yield places[~open_].tolist(), n, ids[~open_].astype("<u4").tobytes()
+                yield places[~open_], ids[~open_]
                 if not open_.any():
                     return
                 ids, ranks, places, at, best = ids[open_], ranks[open_], places[open_], at[open_], best[open_]
@@ -292,45 +339,82 @@ class ByteBpe:
                 a = at[k] - shift
                 ranks[k, a] = find(ids[k, a], ids[k, a + 1])
 
-    def _learn(self, parts: list[list[str]]) -> None:
-        """Fills the memo with the words, without a mark at the end, that it lacks; longer ones are left to ``merge``."""
-        spaced, tokens = self.spaced, self.by_token
-        old, words = spaced.old, set()
-        for word in set().union(*parts):
-            if word not in spaced and word not in old:
-                if word.isalpha():
-                    words.add(word)
-                elif word[:-1].isalpha() and word[-1] in ".,":
-                    words.add(word[:-1])
-        groups: dict[int, tuple[list[str], list[bytes]]] = {}
-        for word in words:
-            if word in spaced or word in old:
-                continue
-            raw = (" " + word).encode()
-            rank = tokens.get(raw)
-            if rank is not None:
-                spaced.put(word, array("I", (rank,)).tobytes())
-            elif len(raw) < LONG:
-                group = groups.setdefault(len(raw), ([], []))
-                group[0].append(word)
-                group[1].append(raw)
-        for length, (members, raws) in groups.items():
-            for places, n, packed in self._merge_all(length, raws):
-                for i, place in enumerate(places):
-                    spaced.put(members[place], packed[4 * n * i : 4 * n * (i + 1)])
+    def _merged(self, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Pre-tokens that are no entries: (their places in another order, their ids in that order)."""
+        starts, data = np.frombuffer(words.buffers()[1], np.int64), np.frombuffer(words.buffers()[2], np.uint8)
+        lengths = np.diff(starts[: len(words) + 1])
+        order = np.argsort(lengths, kind="stable")
+        places, sizes, packed = [], [], []
+        for members in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+            length = lengths[members[0]]
+            if length < LONG:
+                for block in np.split(members, range(SIDE_BY_SIDE, len(members), SIDE_BY_SIDE)):
+                    for rows, ids in self._merge_all(data[starts[block][:, None] + np.arange(length)]):
+                        places.append(block[rows])
+                        sizes.append(np.full(len(rows), ids.shape[1]))
+                        packed.append(ids.astype("<u4").ravel())
+            else:
+                for i in members.tolist():
+                    places.append([i])
+                    packed.append(np.array(self.merge(data[starts[i] : starts[i] + length].tobytes()), "<u4"))
+                    sizes.append([len(packed[-1])])
+        ends = 4 * np.cumsum(np.concatenate(sizes))
+        return np.concatenate(places), _binary(np.concatenate(([0], ends)), np.concatenate(packed))
+
+    def _resolved(self, words: pa.Array) -> pa.Array:
+        """Ids of different pre-tokens: entries are looked up, others merged."""
+        n = len(self.by_token)
+        if self.entries is None:
+            ranks = np.fromiter(self.by_token.values(), "<u4", n)
+            self.entries = pa.array(list(self.by_token), pa.large_binary()), _binary(np.arange(n + 1) * 4, ranks)
+        entries, ids = self.entries
+        at = pc.fill_null(pc.index_in(words, value_set=entries), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            places, merged = self._merged(words.take(pa.array(new)))
+            at[new[places]] = n + np.arange(len(new))
+            ids = pa.concat_arrays([ids, merged])
+        return ids.take(pa.array(at))
+
+    def _packed_column(self, texts: list[str]) -> Iterator[bytes]:
+        """``packed`` of each text; a pre-token that they share is resolved once."""
+        if self.kinds is None:
+            self.kinds = _kinds()
+        joined = "".join(texts)
+        data, points = joined.encode(), np.frombuffer(f"{joined}\0\0".encode("utf-32-le"), "<u4")
+        n = len(joined)
+        bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        first = np.zeros(n + 2, bool)
+        first[bounds] = True
+        begins = _begins(points, first, self.kinds)
+        if not len(begins):
+            yield from [b""] * len(texts)
+            return
+        at = np.append(begins, n)
+        if len(data) > n:  # from characters to bytes
+            wide = np.flatnonzero(points >= 0x80)
+            more = np.zeros(n + 1, np.int32)
+            more[wide + 1] = 1 + (points[wide] >= 0x800) + (points[wide] >= 0x10000).astype(np.int32)
+            at += np.cumsum(more, dtype=np.int32)[at]
+        tokens = _binary(at, data).dictionary_encode()
+        ids = self._resolved(tokens.dictionary).take(tokens.indices)
+        place = np.frombuffer(ids.buffers()[1], np.int64)[np.searchsorted(begins, bounds)]
+        packed = memoryview(ids.buffers()[2])
+        for begin, end in zip(place.tolist(), place[1:].tolist(), strict=False):
+            yield bytes(packed[begin:end])
 
     def packed_all(self, texts: list[str]) -> Iterator[bytes]:
-        """``packed`` of each text; new words of many texts are merged together."""
+        """``packed`` of each text; texts are encoded together until they have ``AT_ONCE`` characters."""
+        if self.pattern_text != SPLIT:
+            yield from map(self.packed, texts)
+            return
         done = 0
         while done < len(texts):
             stop, held = done, 0
             while stop < len(texts) and held < AT_ONCE:
-                held += len(texts[stop]) + 1
+                held += len(texts[stop])
                 stop += 1
-            parts = [None if self.runs.search(t) else t.split(" ") for t in texts[done:stop]]
-            self._learn([p[1:] for p in parts if p is not None])
-            for text, part in zip(texts[done:stop], parts, strict=True):
-                yield self.packed(text) if part is None else self.plain[part[0]] + b"".join(map(self.spaced.__getitem__, part[1:]))
+            yield from self._packed_column(texts[done:stop])
             done = stop
 
     def encode(self, text: str) -> list[int]:

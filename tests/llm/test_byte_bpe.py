@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from quillgraph.llm.byte_bpe import NO_PAIR, ByteBpe, PairTable, PerfectHash, codec, decode_documents, encode_documents, round_trip
+from quillgraph.llm.byte_bpe import NO_PAIR, ByteBpe, PairTable, PerfectHash, _begins, _kinds, codec, decode_documents, encode_documents, round_trip
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -57,6 +57,42 @@ def test_words_merged_side_by_side(bpe, peer):
     assert len(merged) <= 1  # the first word
 
 
+def test_many_texts_are_encoded_by_columns(peer):
+    """No pre-token of many texts is cut by the pattern or merged on its own, whatever stands beside it."""
+    rng = random.Random(8)
+    ends = ["", "", ".", ",", "$$$", "'s", "'ll've", "!'t", ".\n", "...\n\n ", "12", " 　", "\x85", "é中😀", " | ", "'r", "''d"]
+    words = ["".join(rng.choice("abcdefghéß中") for _ in range(rng.randrange(1, 12))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) + rng.choice(ends) for _ in range(rng.randrange(30))) for _ in range(400)]
+    texts += ["'", "s", "'", "re", "'l", "l", " ", "'s", "", "x ", " y", "\n", "\n'm", "  ", "'ve"]  # nothing goes over the end of a text
+    own = codec(PATH, public_tokenizers.PATTERN)
+    own.pattern = own.merge = own._pieces = own._token = None
+    got = [np.frombuffer(x, "<u4").tolist() for x in own.packed_all(texts)]
+    assert got == [peer.encode_ordinary(t) for t in texts]
+
+
+def test_pre_tokens_of_a_column_are_those_of_the_pattern(bpe, monkeypatch):
+    rng = random.Random(9)
+    alphabet = "ab  c'''stmdrevlLS12٣½\n\r\t　 \xa0\x1c\x85é中😀.,_́ "
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(25))) for _ in range(20_000)]
+    want = [bpe.packed(t) for t in texts]
+    assert list(bpe.packed_all(texts)) == want
+    monkeypatch.setattr("quillgraph.llm.byte_bpe.AT_ONCE", 100)  # the parts change nothing
+    monkeypatch.setattr("quillgraph.llm.byte_bpe.SIDE_BY_SIDE", 3)
+    assert list(bpe.packed_all(texts[:2000])) == want[:2000]
+    assert list(bpe.packed_all([])) == [] and list(bpe.packed_all(["", ""])) == [b"", b""]
+    other = ByteBpe(open(PATH, "rb").read(), r"\w+|\W")  # a pattern that isn't cut by columns
+    assert list(other.packed_all(["ab' c", "d's"])) == [other.packed("ab' c"), other.packed("d's")]
+
+
+def test_characters_of_all_kinds_are_cut_as_by_the_pattern(bpe):
+    """Every character beside a letter, a number, a mark and white space."""
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    text = "".join(f"a{c}1{c}.{c}\n{c} {c}" for c in every)
+    points, first = np.frombuffer(f"{text}\0\0".encode("utf-32-le"), "<u4"), np.zeros(len(text) + 2, bool)
+    first[[0, len(text)]] = True
+    assert _begins(points, first, _kinds()).tolist() == [m.start() for m in bpe.pattern.finditer(text)]
+
+
 def test_pair_table_finds_all_and_nothing_else():
     rng = random.Random(7)
     pairs = {rng.randrange(60) << 32 | rng.randrange(60): i for i in range(2000)}
