@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import weakref
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -93,20 +94,23 @@ class _Memo(dict):
     """Piece of text to its ids as bytes, in two generations of half of ``most`` entries.
 
     A full generation becomes the old one; what is still used is taken over
-    from there, the rest is forgotten with it.
+    from there, the rest is forgotten with it. The codec that makes the ids is
+    held weakly: in a cycle with its memos it would stay in a Python worker,
+    beside the next stage's model, until the collector runs after a task.
     """
 
-    def __init__(self, make, most: int) -> None:
+    def __init__(self, owner: ByteBpe, make: Callable[[ByteBpe, str], bytes], most: int) -> None:
         super().__init__()
-        self.make, self.most, self.old = make, most // 2, {}
+        self.owner, self.make, self.most, self.old = weakref.ref(owner), make, most // 2, {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.most:
+            self.old = None  # goes before the copy is made
             self.old = dict(self)
             self.clear()
-        ids = self.old.get(piece)
+        ids = self.old.pop(piece, None)
         if ids is None:
-            ids = self.make(piece)
+            ids = self.make(self.owner(), piece)
         self[piece] = ids
         return ids
 
@@ -213,8 +217,8 @@ class ByteBpe:
         self.pattern = regex.compile(self.pattern_text)
         #: a space between white space, or after it at the end, belongs to a longer run
         self.runs = regex.compile(r"\s \s|\s \Z")
-        self.plain = _Memo(self._pieces, self.memo_entries)
-        self.spaced = _Memo(self._spaced_pieces, self.memo_entries)
+        self.plain = _Memo(self, ByteBpe._pieces, self.memo_entries)
+        self.spaced = _Memo(self, ByteBpe._spaced_pieces, self.memo_entries)
         self.decimal = {rank: str(rank) for rank in self.ranks}
         of_byte, pair = self.of_byte, self.pairs.get
         #: by first and second byte: the rank of the pair, or -1

@@ -1,6 +1,9 @@
 import base64
+import gc
 import hashlib
+import pickle
 import random
+import weakref
 
 import numpy as np
 import public_tokenizers
@@ -128,3 +131,17 @@ def test_operators(bpe, peer, rows, clashing, no_docs):
     encoded = encode_documents(clashing, bpe)
     back = {r["doc_id"]: bytes(r["decoded"]).decode() for r in decode_documents(encoded, bpe).collect()}
     assert back == {doc: text or "" for doc, text, *_ in rows}
+
+
+def test_dropped_codec_goes_at_once(bpe):
+    """Without the collector: a Python worker drops a stage's codec before it loads what the next stage sends."""
+    own = pickle.loads(pickle.dumps(bpe))
+    own.encode("some words, zzyzxq unheard-of  ones\n and 12 more")
+    assert own.plain and own.spaced
+    gone, memo = weakref.ref(own), weakref.ref(own.spaced)
+    gc.disable()
+    try:
+        del own
+        assert gone() is None and memo() is None
+    finally:
+        gc.enable()
