@@ -264,7 +264,7 @@ def near_duplicates(
         .agg(F.min("bucket").alias("bucket"))
         .select("bucket")
     )
-    inside = placed.join(mixed, "bucket")
+    inside = staged(placed.join(mixed, "bucket"), "near-inside")
     weights = inside.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     # a large component has blocks of its own; small ones share blocks
     apart = weights.withColumn("own", F.col("n") >= BLOCK // 4)
@@ -297,8 +297,10 @@ def near_duplicates(
     )
     groups = components(staged(star.unionByName(across).unionByName(same_id), "near-links"))
 
-    least = nodes.select("set", "doc").join(groups.withColumnRenamed("node", "set"), "set", "left")
-    least = least.select("set", "doc", F.coalesce("root", "set").alias("root"))
+    # a set's least document is found anew: its bands need not travel once more
+    firsts = known.where("set IS NOT NULL AND doc IS NOT NULL").groupBy("set").agg(F.min("doc").alias("doc"))
+    least = firsts.join(groups.withColumnRenamed("node", "set"), "set", "left")
+    least = staged(least.select("set", "doc", F.coalesce("root", "set").alias("root")), "near-roots")
     reach = least.groupBy("root").agg(F.min("doc").alias("reach"))
     owners = least.join(reach, "root").select("set", "reach")
     kind = df.schema[id_col].dataType.simpleString()

@@ -120,3 +120,33 @@ def test_a_chain_of_versions_is_one_group(spark):
         rows.append((1000 - i, " ".join(now)))
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=85).collect()
     assert sorted(tuple(r)[:3] for r in got) == sorted(plain(rows, 3, 85))
+
+
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    """Each round is many small jobs, whose plans and tasks the driver holds."""
+    tables = []
+    staged = parts.staged
+    monkeypatch.setattr(parts, "staged", lambda df, label: tables.append(label) or staged(df, label))
+    links = [(i, i + 1) for i in range(300)] + [(900, 900)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {900: 900} | dict.fromkeys(range(301), 0) and len(tables) == 2
+
+
+@pytest.mark.parametrize("at_once", [0, 1, 40, 100_000])
+def test_components_however_many_links_are_left_to_one_task(spark, monkeypatch, at_once):
+    rng = np.random.default_rng(8)
+    names = [mix(np.array([i], np.uint64)).tobytes() for i in range(400)]
+    ends = [*rng.integers(0, 400, (220, 2)).tolist(), *([5, i] for i in range(0, 60, 2)), *([i, i + 1] for i in range(200, 260)), [399, 399]]
+    root = list(range(400))
+    for a, b in ends:  # all of one label take the other
+        root = [root[a] if r == root[b] else r for r in root]
+    used = sorted({i for pair in ends for i in pair})
+    least = {i: min(names[j] for j in used if root[j] == root[i]) for i in used}
+    rounds = []
+    hooks = parts._hooks
+    monkeypatch.setattr(parts, "_hooks", lambda edges, i: rounds.append(i) or hooks(edges, i))
+    monkeypatch.setattr(parts, "AT_ONCE", at_once)
+    links = spark.createDataFrame([(bytearray(names[a]), bytearray(names[b])) for a, b in ends] + [(None, bytearray(names[0]))], "a binary, b binary")
+    got = {bytes(r["node"]): bytes(r["root"]) for r in components(links.repartition(5)).collect()}
+    assert got == {names[i]: n for i, n in least.items()}
+    assert bool(rounds) == (at_once < 100_000)
